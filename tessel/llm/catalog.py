@@ -31,16 +31,16 @@ weighed AS (
   SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM per),
 filling AS (
   SELECT *, CAST(3 * source_size AS DOUBLE) AS cap,
-    row_number() OVER w AS at,
+    row_number() OVER w AS pos,
     (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(3 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighed WINDOW w AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST)),
-water AS (SELECT arg_min(level, at) AS water FROM filling WHERE weight * level <= cap),
+water AS (SELECT arg_min(level, pos) AS water FROM filling WHERE weight * level <= cap),
 targets AS (
   SELECT source, source_size, least(cap, coalesce(weight * water, cap)) AS target FROM filling LEFT JOIN water ON true),
 rated AS (
   SELECT s.doc_id, s.size, s.source, t.source_size, t.target, coalesce(t.target / nullif(t.source_size, 0), 0) AS rate,
-    CAST('0x' || substr(md5('9:' || coalesce(CAST(s.doc_id AS VARCHAR), '-')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+    CAST('0x' || substr(md5('9:' || coalesce(CAST(s.doc_id AS VARCHAR), '-')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, source,
   CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken

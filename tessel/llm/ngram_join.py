@@ -8,8 +8,8 @@
    by (frequency, hash), one global order, and two sets that link must meet in a short prefix of it.
 4. Pairs that meet are verified by partial overlaps, counted per fragment and summed per pair.
 5. Links are needed only between different components: a list of sets that share a prefix n-gram first tests its
-   members against leaders; only lists that still hold several components test the members outside the largest one
-   against all. No candidate is capped or dropped, and a hot n-gram whose sets are all linked costs linear work.
+   members against a leader, the one with the largest shared part; only lists that still hold several components test
+   the members outside the largest one against all. No candidate is capped or dropped, and a hot n-gram whose sets are all linked costs linear work.
 """
 
 from __future__ import annotations
@@ -174,27 +174,31 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int = 5, percent: int
     top = F.shiftrightunsigned("t", 64 - CHECK_BITS)
     pieces = sets.select("cls", F.explode("toks").alias("t")).groupBy("cls", top.cast("int").alias("fragment")).agg(F.collect_list("t").alias("toks"))
     pieces = staged(pieces, "pieces")
-    lists = staged(sets.select("cls", "n", F.explode(F.slice("toks", 1, F.col("prefix"))).alias("tok")), "lists")
+    lists = sets.select("cls", "n", F.size("toks").alias("s"), F.posexplode(F.slice("toks", 1, F.col("prefix"))).alias("i", "tok"))
+    lists = staged(lists.select("cls", "n", "tok", (F.col("s") - F.col("i")).alias("rest")), "lists")  # rest: shared n-grams from this one on
     no_labels = spark.createDataFrame([], "node long, label long")
     labels, edges = no_labels, None
-    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b"))
+    # at the first n-gram of its prefix that a linked pair shares, what both have left must hold their whole overlap
+    near = ((100 + percent) * F.least("r_a", "r_b") >= percent * (F.col("n_a") + F.col("n_b"))) & (F.col("a") != F.col("b"))
     for r in range(rounds + 1):
-        named = lists.join(labels, lists["cls"] == labels["node"], "left").select("cls", "n", "tok", F.coalesce("label", "cls").alias("label"))
+        named = lists.join(labels, lists["cls"] == labels["node"], "left").select("cls", "n", "rest", "tok", F.coalesce("label", "cls").alias("label"))
         named = staged(named, "named")
-        open_ = named.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(r), "cls").alias("h"), "cls", F.col("n").alias("n"), "label")).alias("lead"))
+        open_ = named.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct((F.col("rest") / F.col("n")).alias("q") if r == 0 else F.xxhash64(F.lit(r), "cls").alias("h"), "cls", "n", "rest", "label")).alias("lead"))
         open_ = staged(open_.filter("lo <> hi"), "open")
         if r < rounds:
-            pairs = named.join(open_, "tok").filter("label <> lead.label").select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"))
+            pairs = named.join(open_, "tok").filter("label <> lead.label").select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"), F.col("lead.rest").alias("r_a"), F.col("rest").alias("r_b"))
         else:
             rest = staged(named.join(open_.select("tok"), "tok"), "rest")
             held = rest.groupBy("tok", "label").agg(F.count("*").alias("m"))
             most = staged(held.groupBy("tok").agg(F.max_by("label", F.struct("m", "label")).alias("most")), "most")
-            some = staged(rest.join(most, "tok").filter("label <> most").select("tok", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a")), "some")
-            every = rest.select("tok", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
-            pairs = some.join(every, (some["tok"] == every["tok"]) & (F.col("l_a") != F.col("l_b")) & near).select("a", "b", "n_a", "n_b")
+            some = staged(rest.join(most, "tok").filter("label <> most").select("tok", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("r_a"), F.col("label").alias("l_a")), "some")
+            every = rest.select("tok", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("r_b"), F.col("label").alias("l_b"))
+            pairs = some.join(every, (some["tok"] == every["tok"]) & (F.col("l_a") != F.col("l_b")) & near).select("a", "b", "n_a", "n_b", "r_a", "r_b")
         pairs = pairs.filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = _verified(staged(pairs, "pairs"), pieces, sizes, percent)
-        edges = staged(new if edges is None else new.unionByName(edges), "links")
+        new = staged(_verified(staged(pairs, "pairs"), pieces, sizes, percent), "links")
+        if edges is not None and new.isEmpty():
+            break
+        edges = new if edges is None else new.unionByName(edges)
         labels = connected_components(edges)
     return labels
 
