@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.llm import mixing, ngram_join, sharding
+from tessel.llm import html_main, langid, mixing, ngram_join, packing, quality, secrets, sharding, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -19,10 +27,30 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("url")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 MIXING_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
@@ -47,5 +75,28 @@ SELECT doc_id, size, source_size, target, source,
 FROM rated
 """
 
-QUERIES = {q.__name__: q for q in (op3_ngram_jaccard_join, op4_sharding, op9_mixing)}
-ORACLE_SQL = {"op9_mixing": MIXING_SQL}
+#: The contract of a WARC record needs no archive to compute; the digest in base32 has no SQL function, so the hexadecimal
+#: form is spelled out in groups of five bits.
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS h FROM p),
+bits AS (
+  SELECT page_id, n, h, list_reduce(list_transform(range(1, 41), lambda i: lpad(bin(CAST('0x' || h[i] AS INTEGER)), 4, '0')), lambda a, b: a || b) AS b FROM d),
+b32 AS (
+  SELECT page_id, n, h, list_reduce(list_transform(range(0, 32), lambda i:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * CAST(b[5*i+1] AS INTEGER) + 8 * CAST(b[5*i+2] AS INTEGER) + 4 * CAST(b[5*i+3] AS INTEGER) + 2 * CAST(b[5*i+4] AS INTEGER) + CAST(b[5*i+5] AS INTEGER)]), lambda x, y: x || y) AS digest FROM bits),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY h, n) AS first, count(*) OVER (PARTITION BY h, n) AS c FROM b32)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN c > 1 AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN c > 1 AND first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM g
+"""
+
+QUERIES = {
+    q.__name__: q
+    for q in (
+        op1_html_extraction, op2_secret_scan, op3_ngram_jaccard_join, op4_sharding, op5_embedding_near_dedup,
+        op6_language_id, op7_quality_rules, op8_warc, op9_mixing, op10_best_fit_packing,
+    )
+}
+ORACLE_SQL = {"op8_warc": WARC_SQL, "op9_mixing": MIXING_SQL}
