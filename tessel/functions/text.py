@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 #: Words that the analysers leave out.
@@ -86,7 +87,7 @@ def stem(word: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def stem_udf(words: pd.Series) -> pd.Series:
     return words.map(stem, na_action="ignore")
 
