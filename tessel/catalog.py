@@ -1,5 +1,7 @@
-"""Name -> (query, DuckDB SQL) of the library's own operators."""
+"""Name -> (query, DuckDB SQL) of the library's own operators; names start with the operator's ID in the inventory."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tessel.queries import QUERIES, SQL
+
+ORACLE_SQL = SQL
 FLAGSHIP = "l4_search_exhaustive"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
