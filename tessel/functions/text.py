@@ -107,9 +107,9 @@ def remove_stop_words(tokens: Column) -> Column:
 
 def bigrams(tokens: Column, least: int = 3) -> Column:
     """Adjacent pairs of tokens that both have at least `least` characters."""
-    pairs = F.when(F.size(tokens) > 1, F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.struct(F.element_at(tokens, i).alias("l"), F.element_at(tokens, i + 1).alias("r"))))
-    long_ = F.filter(pairs, lambda p: (F.length(p["l"]) >= least) & (F.length(p["r"]) >= least))
-    return F.coalesce(F.transform(long_, lambda p: F.concat_ws(" ", p["l"], p["r"])), F.array().cast("array<string>"))
+    n = F.greatest(F.lit(0), F.size(tokens) - 1)
+    pairs = F.zip_with(F.slice(tokens, 1, n), F.slice(tokens, 2, n), lambda l, r: F.when((F.length(l) >= least) & (F.length(r) >= least), F.concat_ws(" ", l, r)))
+    return F.filter(pairs, lambda p: p.isNotNull())
 
 
 def analyze(docs: DataFrame, analyzer: str = "stem", text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -266,10 +266,10 @@ def m5(spark, d):
     return lexical.top(mutation.live(lexical.score_all(ix, PROBE.split()), dead), 10)
 
 
-@query("m4_m7_add_document", "SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT doc_id, upper(text) FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id + 10000000, lower(text) FROM documents WHERE doc_id % 10 = 1")
+@query("m4_m7_add_document", "SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT doc_id, reverse(text) FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id + 10000000, lower(text) FROM documents WHERE doc_id % 10 = 1")
 def m4(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    new = docs.filter("doc_id % 10 = 0").withColumn("text", F.upper("text")).unionByName(docs.filter("doc_id % 10 = 1").select((F.col("doc_id") + 10000000).alias("doc_id"), F.lower("text").alias("text")))
+    new = docs.filter("doc_id % 10 = 0").withColumn("text", F.reverse("text")).unionByName(docs.filter("doc_id % 10 = 1").select((F.col("doc_id") + 10000000).alias("doc_id"), F.lower("text").alias("text")))
     both = docs.withColumn("v", F.lit(0)).unionByName(new.withColumn("v", F.lit(1)))
     return both.groupBy("doc_id").agg(F.max_by("text", "v").alias("text"))
 

@@ -219,10 +219,10 @@ def st2(spark, d):
     return social.presence_spans(table(spark, d, "events"), 43200, 172800)
 
 
-@query("st5_ttl_entries", f"SELECT user_id, max(ts) AS set_at FROM events GROUP BY 1 HAVING epoch_us(max(ts)) + 300 * 1000000 * 864 > epoch_us({_NOW})")
+@query("st5_ttl_entries", f"SELECT user_id, max(ts) AS set_at FROM events GROUP BY 1 HAVING epoch_us(max(ts)) + CAST(259200000000 AS BIGINT) > epoch_us({_NOW})")
 def st5(spark, d):
     e = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("set_at"))
-    return e.filter(F.unix_micros(F.col("set_at").cast("timestamp")) + 300 * 1000000 * 864 > F.unix_micros(F.lit("2024-01-31 00:00:00").cast("timestamp")))
+    return e.filter(F.unix_micros(F.col("set_at").cast("timestamp")) + 259200000000 > F.unix_micros(F.lit("2024-01-31 00:00:00").cast("timestamp")))
 
 
 @query("st6_rate_limit", "SELECT event_id, user_id, CAST(n AS INTEGER) AS nth, n <= 2 AS allowed, CAST(greatest(0, 2 - n) AS INTEGER) AS remaining FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 86400000000 ORDER BY ts, event_id) AS n FROM events)")
