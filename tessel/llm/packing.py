@@ -16,9 +16,9 @@ from tessel.llm._common import staged
 
 LIMIT, END = 4096, 1
 #: Tokens that one group should hold on average; groups are packed apart, each in one task.
-GROUP_TOKENS = 4_000_000
-#: Words remembered by a worker before the memory is emptied.
-CACHE_WORDS = 400_000
+GROUP_TOKENS = 1_500_000
+#: Words, and parts of words, remembered by a worker before that memory is emptied.
+CACHE_WORDS, CACHE_PARTS = 400_000, 1_000_000
 #: Texts with other characters go to the tokenizer whole: its Unicode rules are then decisive.
 _PLAIN = re.compile("[\t-\r -~¡-įı-ɏ‐-‧€]*")
 
@@ -72,8 +72,8 @@ class CachedTokenizer:
         """Little-endian unsigned 32-bit ids of each text."""
         plain = ["<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts]
         split = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
-        for memory in (self.words, self.parts):
-            if len(memory) > CACHE_WORDS:
+        for memory, most in ((self.words, CACHE_WORDS), (self.parts, CACHE_PARTS)):
+            if len(memory) > most:
                 memory.clear()
         words = self.words
         new = list({w for s in split for w in s if w not in words})
