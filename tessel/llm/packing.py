@@ -18,7 +18,7 @@ LIMIT, END = 4096, 1
 #: Tokens that one group should hold on average; groups are packed apart, each in one task.
 GROUP_TOKENS = 1_500_000
 #: Words, and parts of words, remembered by a worker before that memory is emptied.
-CACHE_WORDS, CACHE_PARTS = 400_000, 1_000_000
+CACHE_WORDS, CACHE_PARTS = 250_000, 600_000
 #: Texts with other characters go to the tokenizer whole: its Unicode rules are then decisive.
 _PLAIN = re.compile("[\t-\r -~¡-įı-ɏ‐-‧€]*")
 
