@@ -67,12 +67,18 @@ water AS (SELECT arg_min(level, pos) AS water FROM filling WHERE weight * level
 targets AS (
   SELECT source, source_size, least(cap, coalesce(weight * water, cap)) AS target FROM filling LEFT JOIN water ON true),
 rated AS (
-  SELECT s.doc_id, s.size, s.source, t.source_size, t.target, coalesce(t.target / nullif(t.source_size, 0), 0) AS rate,
-    CAST('0x' || substr(md5('9:' || coalesce(CAST(s.doc_id AS VARCHAR), '-')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, source,
-  CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM rated
+  SELECT s.doc_id, s.size, s.source, t.source_size, t.target, coalesce(t.target / nullif(t.source_size, 0), 0) AS rate
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+drawn AS (
+  SELECT *, CAST('0x' || substr(md5('9:' || trial || ':' || coalesce(CAST(doc_id AS VARCHAR), '-')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM (SELECT *, unnest(range(16)) AS trial FROM rated)),
+sums AS (
+  SELECT source, trial, abs(sum(CASE WHEN u < rate - floor(rate) THEN size ELSE 0 END) - (any_value(target) - floor(any_value(rate)) * any_value(source_size))) AS off
+  FROM drawn GROUP BY source, trial),
+chosen AS (SELECT source, trial FROM sums QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, trial) = 1)
+SELECT d.doc_id, d.size, d.source_size, d.target, d.source,
+  CAST((floor(d.rate) + CASE WHEN d.u < d.rate - floor(d.rate) THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken
+FROM drawn d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.trial = c.trial
 """
 
 #: The contract of a WARC record needs no archive to compute; the digest in base32 has no SQL function, so the hexadecimal

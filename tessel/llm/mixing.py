@@ -10,6 +10,8 @@ from tessel.llm._common import WORD, small, staged
 
 #: The number that thirteen hexadecimal digits can't reach.
 _SPAN = float(16**13)
+#: Series of draws that each source chooses from.
+TRIALS = 16
 
 
 def words(text: Column) -> Column:
@@ -17,10 +19,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def draw(doc_id: Column, seed: int) -> Column:
-    """A number in [0, 1) that only seed and doc_id decide."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("-")))), 1, 13)
-    return F.conv(digits, 16, 10).cast("double") / F.lit(_SPAN)
+def draw(doc_id: Column, seed: int, trial: Column) -> Column:
+    """A number in [0, 1) that only seed, trial and doc_id decide."""
+    key = F.concat(F.lit(f"{seed}:"), trial.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("-")))
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(_SPAN)
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, share: float = 1.0) -> DataFrame:
@@ -47,34 +49,53 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return free.select("source", "source_size", target.cast("double").alias("target"))
 
 
+def _chosen(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """targets with trial: of TRIALS series of draws the one whose extra copies bring the source nearest its target.
+
+    One long document can carry a small source far off its target under any single series. The sums of all series are
+    taken in one aggregation, combined before the shuffle. Ties go to the first series.
+    """
+    t = _rates(small(staged(targets.withColumnRenamed("source", "source_of_"), "targets")))
+    rated = sized.select("doc_id", "source", "size").join(t, F.col("source").eqNullSafe(F.col("source_of_")))
+    sums = [F.sum(F.when(draw(F.col("doc_id"), seed, F.lit(j)) < F.col("part_"), F.col("size")).otherwise(0)) for j in range(TRIALS)]
+    found = rated.groupBy("source_of_", "source_size", "target", "whole_").agg(F.array(*sums).alias("sums"))
+    wanted = F.col("target") - F.col("whole_") * F.col("source_size")
+    off = F.transform("sums", lambda x, j: F.struct(F.abs(x - wanted).alias("off"), j.alias("trial_")))
+    return found.select("source_of_", "source_size", "target", F.array_min(off)["trial_"].alias("trial_"))
+
+
+def _rates(targets: DataFrame) -> DataFrame:
+    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+    return targets.withColumns({"whole_": F.floor(rate), "part_": rate - F.floor(rate)})
+
+
 def repetition(docs: DataFrame, seed: int = 9, **rates) -> DataFrame:
     """docs with size, source_size, target and copies: floor(rate) plus one more copy with probability rate - floor(rate).
 
-    rate = target / source_size. The draw depends on the seed and doc_id alone, so reruns agree; rows that repeat a
-    doc_id share its draw. A source without words has rate 0. Null text counts no words; null is a source of its own.
+    rate = target / source_size. A draw depends on the seed, the source's series (one of TRIALS, see _chosen) and doc_id
+    alone, so reruns agree; rows of a source that repeat a doc_id share its draw. A source without words has rate 0.
+    Null text counts no words; null is a source of its own.
     The output has the input's columns first; its own columns replace input columns of the same names.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
-    targets = source_targets(docs.select("source", words(F.col("text")).alias("size")), **rates)
-    return _repeat(docs.withColumn("size", words(F.col("text"))), targets, seed)
+    sized = staged(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
+    return _repeat(docs.withColumn("size", words(F.col("text"))), _chosen(sized, source_targets(sized, **rates), seed), seed)
 
 
-def _repeat(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
-    t = small(staged(targets.withColumnRenamed("source", "source_of"), "targets"))
-    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    whole = F.floor(rate)
-    extra = F.when(draw(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)
-    out = sized.join(t, sized["source"].eqNullSafe(t["source_of"]), "left").drop("source_of")
-    return out.withColumn("copies", (whole + extra).cast("long"))
+def _repeat(sized: DataFrame, chosen: DataFrame, seed: int) -> DataFrame:
+    t = _rates(small(staged(chosen, "chosen")))
+    out = sized.join(t, sized["source"].eqNullSafe(t["source_of_"]), "left")
+    extra = F.when(draw(F.col("doc_id"), seed, F.col("trial_")) < F.col("part_"), 1).otherwise(0)
+    return out.withColumn("copies", (F.col("whole_") + extra).cast("long")).drop("source_of_", "trial_", "whole_", "part_")
 
 
 def mix_report(docs: DataFrame, seed: int = 9, **rates) -> DataFrame:
     """Per document: size, its source's size and target, and the words that the mix takes from it.
 
-    The text is parsed once; sizes are staged and both the totals and the rates are read from that narrow table.
+    The text is parsed once; sizes are staged and the totals, the draws and the rates are read from that narrow table.
     """
     sized = staged(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
-    out = _repeat(sized, source_targets(sized, **rates), seed)
+    out = _repeat(sized, _chosen(sized, source_targets(sized, **rates), seed), seed)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 

@@ -118,6 +118,11 @@ def test_mixing(docs, empty, rows):
     for r in got:
         assert r["source_size"] == size[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
         assert r["taken"] <= 3 * r["size"]
+    sized = [(r[0], r[3], len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))) for r in rows]
+    for s in size:  # no other series of draws comes nearer
+        rate = target[s] / size[s] if size[s] else 0.0
+        sums = [sum(n * (int(rate) + (int(hashlib.md5(f"9:{j}:{'-' if d is None else d}".encode()).hexdigest()[:13], 16) / 16**13 < rate % 1)) for d, x, n in sized if x == s) for j in range(mixing.TRIALS)]
+        assert abs(sum(r["taken"] for r in got if r["source"] == s) - target[s]) == pytest.approx(min(abs(x - target[s]) for x in sums))
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     taken = {(r["doc_id"], r["size"]): r["copies"] for r in got}
