@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ LIMIT, END = 4096, 1
 GROUP_TOKENS = 1_500_000
 #: Words, and parts of words, remembered by a worker before that memory is emptied.
 CACHE_WORDS, CACHE_PARTS = 250_000, 600_000
+#: Bytes of text that are tokenized at once.
+SLICE = 4 << 20
 #: Texts with other characters go to the tokenizer whole: its Unicode rules are then decisive.
 _PLAIN = re.compile("[\t-\r -~¡-įı-ɏ‐-‧€]*")
 
@@ -69,22 +72,43 @@ class CachedTokenizer:
         self.words.update((w, b"".join(map(known, c))) for w, c in zip(words, cut, strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned 32-bit ids of each text.
+
+        Words are split and numbered in Arrow, so Python sees each distinct word of the call once; numpy writes the ids.
+        """
         plain = ["<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts]
-        split = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
         for memory, most in ((self.words, CACHE_WORDS), (self.parts, CACHE_PARTS)):
             if len(memory) > most:
                 memory.clear()
-        words = self.words
-        new = list({w for s in split for w in s if w not in words})
-        self._learn(new)
+        split = pc.ascii_split_whitespace(pa.array([t.lower() for t, p in zip(texts, plain, strict=True) if p], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        distinct, word = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self._learn([w for w in distinct if w not in self.words])
+        raws = [self.words[w] for w in distinct]
+        pool = np.frombuffer(b"".join(raws), "<u4")
+        size = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        length = size[word]
+        ends = np.concatenate(([0], np.cumsum(length)))
+        place = np.repeat((np.cumsum(size) - size)[word] - ends[:-1], length) + np.arange(ends[-1])
+        raw = pool[place].tobytes()
+        cuts = (4 * ends[split.offsets.to_numpy()]).tolist()
+        known = iter([raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
         odd = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [b"".join(map(words.__getitem__, s)) if p else next(odd) for s, p in zip(split, plain, strict=True)]
+        return [next(known) if p else next(odd) for p in plain]
 
 
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in runs of rows of about SLICE bytes of text each; a longer text is a run of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(size // SLICE)) + 1).tolist(), batch.num_rows]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        if i < j:
+            yield batch.slice(i, j - i)
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids with the end id, longer ones cut at `limit`."""
     path = tokenizer or default_tokenizer()
@@ -93,8 +117,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) ->
         tok = _TOKENIZERS.setdefault(path, None) or _TOKENIZERS.update({path: CachedTokenizer(path)}) or _TOKENIZERS[path]
         end = np.array([END], "<u4").tobytes()
         for whole in it:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in _slices(whole):
                 rows, out = [], [[], [], [], []]
                 for i, raw in enumerate(tok.ids([t or "" for t in batch.column(1).to_pylist()])):
                     raw += end
