@@ -22,7 +22,12 @@ _LETTERS = 60
 
 def fold(codes: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
     """Symbols of code points: 0 anything but a letter, 1 a letter unseen in training, 2.. the alphabet."""
-    return alphabet[np.minimum(codes, len(alphabet) - 1)]
+    out = alphabet[np.minimum(codes, len(alphabet) - 1)]
+    far = codes >= len(alphabet)  # beyond the table: each distinct code point is looked at once
+    if far.any():
+        values, where = np.unique(codes[far], return_inverse=True)
+        out[far] = np.array([chr(v).isalpha() for v in values.tolist()], out.dtype)[where]
+    return out
 
 
 def _codes(text: str) -> np.ndarray:
@@ -30,12 +35,11 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _alphabet(texts: list[str]) -> np.ndarray:
-    """Table from code point to symbol. Its last row stands for all code points beyond it."""
+    """Table from code point to symbol; code points beyond it are never in the alphabet."""
     table = np.array([int(chr(c).isalpha()) for c in range(0x3100)], np.int16)
-    seen = Counter(c for t in texts for c in t.lower() if c.isalpha() and ord(c) < len(table) - 1)
+    seen = Counter(c for t in texts for c in t.lower() if c.isalpha() and ord(c) < len(table))
     for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:_LETTERS]):
         table[ord(c)] = i + 2
-    table[-1] = 1
     return table
 
 
