@@ -148,18 +148,32 @@ def test_secrets(docs, empty, rows):
 def test_grammar_learns_format():
     rnd = random.Random(1)
     known = ["".join(rnd.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
-    s = secrets.Scanner(known, ["elephantine", "recommended"])
-    assert s.grammar.likelihood("0a" * 20) > s.least - 1e-9 and s.grammar.likelihood("Zebra-crossing-24-and-more") < s.least
+    other = ["AKIA" + "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)) for _ in range(60)]
+    s = secrets.Scanner([known, other, []], ["elephantine", "recommended"])
+    assert len(s.grammars) == 2
+    (grammar, least), (grammar2, least2) = s.grammars
+    assert grammar.likelihood("0a" * 20) > least - 1e-9 and grammar.likelihood("Zebra-crossing-24-and-more") < least
+    assert grammar2.likelihood(other[0]) >= least2 > grammar2.likelihood(known[0])
+    assert s.spans("an 1a2b3c4d5e6f70819a2b of AKIAX, Zebra-crossing-24-and-more, room-1234567890123456")[1] == []
+    short = secrets.Scanner([[k[:18] for k in known]], ["elephantine", "recommended"])
+    assert short.spans("see 0123456789abcdef01 there")[1] == [(4, 22, "grammar")] and short.spans("see somewhere-in-2024-or-25")[1] == []
+
+
+def test_grammar_uses_every_labelled_kind(spark):
+    rnd = random.Random(4)
+    texts = [f"password={rnd.getrandbits(72):018x} and AKIA{rnd.getrandbits(60):016X} or {rnd.getrandbits(160):040x}" for _ in range(50)]
+    found, words = secrets.labelled(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert [len(x) for x in found] == [50, 50, 50] and {len(s) for s in found[0]} == {18} and all(s.startswith("AKIA") for s in found[1])
 
 
 def test_language(docs, empty, spark):
     rnd = random.Random(5)
     make = lambda parts, n: " ".join("".join(rnd.choice(parts) for _ in range(3)) for _ in range(n))
-    data = [(i, make(["the", "ing", "er"] if i % 2 else ["sch", "ung", "ei"], 40), "en" if i % 2 else "de") for i in range(120)] + [(1000, None, "en"), (1001, "123 !!", "de"), (1002, "", None)]
+    data = [(i, make(["the", "ing", "er"] if i % 2 else ["sch", "ung", "ei"], 40), "en" if i % 2 else "de") for i in range(120)] + [(1000, None, "en"), (1001, "123 !!", "de"), (1002, "", None), (1003, "\U0001f600 \U0001f680 \uff0c", "en")]
     t = spark.createDataFrame(data, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in langid.identify(t).collect()}
     assert all(got[i]["lang_pred"] == lang for i, _, lang in data[:120]) and all(0 <= r["score"] <= 1 for r in got.values())
-    assert [got[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3
+    assert [got[i]["lang_pred"] for i in (1000, 1001, 1002, 1003)] == ["und"] * 4
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(120))
     kept = langid.keep_identified(t)
     assert kept.columns == t.columns and kept.count() == 120
