@@ -18,8 +18,8 @@ from tessel.llm._common import staged
 LIMIT, END = 4096, 1
 #: Tokens that one group should hold on average; groups are packed apart, each in one task.
 GROUP_TOKENS = 1_500_000
-#: Words, and parts of words, remembered by a worker before that memory is emptied.
-CACHE_WORDS, CACHE_PARTS = 250_000, 600_000
+#: Parts of words remembered by a worker before that memory is emptied.
+CACHE_PARTS = 600_000
 #: Bytes of text that are tokenized at once.
 SLICE = 4 << 20
 #: Texts with other characters go to the tokenizer whole: its Unicode rules are then decisive.
@@ -32,22 +32,29 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: How the tokenizer cuts such a text, lower-cased, before it merges: it never joins two of these.
-_PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ɏ0-9²³¹¼-¾]+")
+#: How the tokenizer cuts a word of such a text, lower-cased, before it merges: it never joins two of these. For Arrow.
+_PART = "('s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ɏ0-9²³¹¼-¾]+)"
+
+
+def _joined(raws: pa.Array, split: pa.Array, index: pa.Array) -> pa.Array:
+    """Each list of split as the joined raws of its items; index holds the items' places in raws."""
+    taken = raws.take(index)
+    _, offsets, data = taken.buffers()
+    ends = np.frombuffer(offsets, np.int64)[split.offsets.to_numpy()]
+    return pa.Array.from_buffers(pa.large_binary(), len(split), [None, pa.py_buffer(ends), data])
 
 
 class CachedTokenizer:
-    """ids of texts. The tokenizer never joins across white space, so ids of blank-separated words are remembered.
+    """ids of texts. The tokenizer never joins across white space, so only distinct words are looked at.
 
-    Unknown words are cut into the parts that it merges apart; unknown parts are encoded many at once, and the ids
-    that end a part tell them apart again.
+    Words are cut into the parts that the tokenizer merges apart, and the ids of parts are remembered; unknown parts are
+    encoded many at once, and the ids that end a part tell them apart again.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -56,9 +63,7 @@ class CachedTokenizer:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        cut = [_PART.findall(w) for w in words]
-        new = list({p for c in cut for p in c if p not in self.parts})
+    def _learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -68,31 +73,24 @@ class CachedTokenizer:
                 continue
             raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
             self.parts.update((w, raw[i:j]) for w, i, j in zip(part, cuts[:-1], cuts[1:], strict=True))
-        known = self.parts.__getitem__
-        self.words.update((w, b"".join(map(known, c))) for w, c in zip(words, cut, strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text.
 
-        Words are split and numbered in Arrow, so Python sees each distinct word of the call once; numpy writes the ids.
+        Texts are split into words and distinct words into parts in Arrow, which also joins their ids; Python sees each
+        distinct part of the call once.
         """
         plain = ["<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts]
-        for memory, most in ((self.words, CACHE_WORDS), (self.parts, CACHE_PARTS)):
-            if len(memory) > most:
-                memory.clear()
-        split = pc.ascii_split_whitespace(pa.array([t.lower() for t, p in zip(texts, plain, strict=True) if p], pa.large_string()))
-        coded = split.flatten().dictionary_encode()
-        distinct, word = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        self._learn([w for w in distinct if w not in self.words])
-        raws = [self.words[w] for w in distinct]
-        pool = np.frombuffer(b"".join(raws), "<u4")
-        size = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
-        length = size[word]
-        ends = np.concatenate(([0], np.cumsum(length)))
-        place = np.repeat((np.cumsum(size) - size)[word] - ends[:-1], length) + np.arange(ends[-1])
-        raw = pool[place].tobytes()
-        cuts = (4 * ends[split.offsets.to_numpy()]).tolist()
-        known = iter([raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+        words = pc.ascii_split_whitespace(pa.array([t.lower() for t, p in zip(texts, plain, strict=True) if p], pa.large_string()))
+        word = words.flatten().dictionary_encode()
+        parts = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(pc.replace_substring_regex(word.dictionary, _PART, r"\1 ")))
+        part = parts.flatten().dictionary_encode()
+        distinct = part.dictionary.to_pylist()
+        self._learn([p for p in distinct if p not in self.parts])
+        raws = pa.array([self.parts[p] for p in distinct], pa.large_binary())
+        known = iter(_joined(_joined(raws, parts, part.indices), words, word.indices).to_pylist())
         odd = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
         return [next(known) if p else next(odd) for p in plain]
 
