@@ -84,22 +84,31 @@ def memory_bytes(vectors: DataFrame) -> DataFrame:
 
 
 class AnnIndex:
-    """Approximate nearest neighbours by sign-hash cells: a query looks only into cells within `probes` flipped bits."""
+    """Approximate nearest neighbours by sign-hash cells: a query looks only into cells within `probes` flipped bits.
 
-    def __init__(self, vectors: DataFrame, dim: int, bits: int = 6, seed: int = 42) -> None:
-        self.planes = np.random.RandomState(seed).standard_normal((bits, dim))
-        cell = sum((F.when(dot(F.col("embedding"), literal(p)) >= 0, 1 << i).otherwise(0) for i, p in enumerate(self.planes)), F.lit(0))
-        self.vectors = vectors.withColumn("cell", cell)
+    Each of several tables has its own planes; a row is scored if any table has it in a near cell.
+    """
+
+    def __init__(self, vectors: DataFrame, dim: int, bits: int = 6, seed: int = 42, tables: int = 2) -> None:
+        self.planes = np.random.RandomState(seed).standard_normal((tables, bits, dim))
+        for t, planes in enumerate(self.planes):
+            cell = sum((F.when(dot(F.col("embedding"), literal(p)) >= 0, 1 << i).otherwise(0) for i, p in enumerate(planes)), F.lit(0))
+            vectors = vectors.withColumn(f"cell_{t}", cell)
+        self.vectors = vectors
+
+    def cells(self, query, probes: int) -> list[list[int]]:
+        """The cells of each table that a query looks into."""
+        out = []
+        for planes in self.planes:
+            own = sum(1 << i for i, m in enumerate(planes @ np.asarray(query, np.float64)) if m >= 0)
+            out.append([c for c in range(1 << len(planes)) if bin(c ^ own).count("1") <= probes])
+        return out
 
     def search(self, query, k: int = 10, probes: int = 2, predicate: Column | None = None) -> DataFrame:
-        margins = self.planes @ np.asarray(query, np.float64)
-        own = sum(1 << i for i, m in enumerate(margins) if m >= 0)
-        near = np.argsort(np.abs(margins))
-        cells = {own}
-        for i in near:
-            cells |= {c ^ (1 << int(i)) for c in cells if bin(c ^ own).count("1") < probes}
-        rows = self.vectors.filter(F.col("cell").isin(sorted(cells)))
-        return knn(rows, query, k, predicate)
+        near = F.lit(False)
+        for t, cells in enumerate(self.cells(query, probes)):
+            near = near | F.col(f"cell_{t}").isin(cells)
+        return knn(self.vectors.filter(near), query, k, predicate)
 
 
 def mean_pool(tokens: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tessel.operators import dense, fusion, lexical, mutation, social
 from tessel.operators.index import Index
 from tessel.plans.search import Engine, LruCache
+from tessel.queries import dense as queries
 from tessel.sources import files
 
 
@@ -75,6 +76,22 @@ def test_vectors(spark, tmp_path):
     assert len(exact & {r[0] for r in ann.search(x[4], 5, probes=4).collect()}) >= 4
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ann_recall(spark, monkeypatch, sf):
+    """The registered search itself, asked for every id divisible by 50: mean recall@10 of 0.9 at least."""
+    t = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").cache()
+    rows = t.collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    recall = []
+    for i in [*ids[ids % 50 == 0].tolist(), 7]:
+        q = x[ids == i][0]
+        monkeypatch.setattr(queries, "_q", lambda *_, q=q: (t, q.tolist()))
+        got = {r["vec_id"] for r in queries.d34(spark, sf).collect()}
+        recall.append(len(got & set(ids[np.lexsort((ids, -np.round(x @ q, 6)))[:10]].tolist())) / 10)
+    t.unpersist()
+    assert np.mean(recall[:-1]) >= 0.9 and recall[-1] >= 0.9
+
+
 def test_replay(spark):
     log = spark.createDataFrame([(1, 1, 1, "a"), (2, 1, 2, "b"), (3, 2, 1, None), (4, 3, 2, "c"), (5, 2, 9, None), (6, 1, 1, "d")], "seq long, op int, doc_id long, content string")
     assert sorted(mutation.replay(log).collect()) == [(1, "d"), (2, "c")]
