@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,32 +28,61 @@ def knn(vectors: DataFrame, query, k: int = 10, predicate: Column | None = None)
     return rows.select("vec_id", sim.alias("sim")).orderBy(F.desc("sim"), "vec_id").limit(k)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
-    """(query_id, vec_id, sim, rank) for a bounded set of queries (query_id, embedding) that fits the driver.
+def _packed(rows: DataFrame, name: str, block: int) -> DataFrame:
+    """(name_ids, name_rows): blocks of up to `block` rows of (name, embedding) as packed arrays; null vectors left out."""
 
-    Each task multiplies its vectors with all queries and keeps k per query; the partial lists are merged.
+    def run(it):
+        for batch in it:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                v = part.column(1)
+                if len(set(pc.list_value_length(v).to_pylist())) > 1:
+                    raise ValueError("vectors differ in length")
+                ids, x = part.column(0).to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([x.astype(np.float64).tobytes()], pa.binary())], [f"{name}_ids", f"{name}_rows"])
+
+    return rows.select(F.col(name).cast("long"), "embedding").filter("embedding is not null").mapInArrow(run, f"{name}_ids binary, {name}_rows binary")
+
+
+def _best(row: np.ndarray, vec: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k entries of each row with the largest sim, then the least vec."""
+    order = np.lexsort((vec, -sim, row))
+    row, vec, sim = row[order], vec[order], sim[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], vec[keep], sim[keep]
+
+
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096, query_block: int = 1024) -> DataFrame:
+    """(query_id, vec_id, sim, rank) for all queries (query_id, embedding) against all vectors; null vectors match nothing.
+
+    Both sides are packed into blocks and every block of queries meets every block of vectors, so neither the driver
+    nor a task holds more than a block of each. A task keeps k per query while its vectors pass; the lists are merged.
     """
-    q = queries.select("query_id", "embedding").toPandas()
-    ids, m = q["query_id"].to_numpy(), np.stack([np.asarray(v, np.float64) for v in q["embedding"]]) if len(q) else np.zeros((0, 1))
+    asked = queries.select("query_id", "embedding").filter("embedding is not null")
+    asked = asked.repartition(max(1, -(-asked.count() // query_block)))
 
     def run(it):
-        best_s, best_i = [np.zeros(0)] * len(ids), [np.zeros(0, np.int64)] * len(ids)
-        for part in it:
-            for at in range(0, len(part), block):
-                rows = part.iloc[at : at + block]
-                if not len(rows) or not len(ids):
-                    continue
-                x = np.stack([np.asarray(v, np.float64) for v in rows["embedding"]])
-                sims, vec = np.round(m @ x.T, 6), rows["vec_id"].to_numpy()
-                for i in range(len(ids)):
-                    s, v = np.concatenate((best_s[i], sims[i])), np.concatenate((best_i[i], vec))
-                    keep = np.lexsort((v, -s))[:k]
-                    best_s[i], best_i[i] = s[keep], v[keep]
-        for i, qid in enumerate(ids):
-            if len(best_i[i]):
-                yield pd.DataFrame({"query_id": np.int64(qid), "vec_id": best_i[i], "sim": best_s[i]})
-
-    found = vectors.select("vec_id", "embedding").filter("embedding is not null").mapInPandas(run, "query_id long, vec_id long, sim double")
+        ids, held = None, None
+        for batch in it:
+            for q_ids, q_rows, v_ids, v_rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ids is None or (q_ids, q_rows) != ids:
+                    if ids is not None:
+                        yield from out(ids[0], held)
+                    ids, held, m = (q_ids, q_rows), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.frombuffer(q_rows)
+                    m = m.reshape(len(q_ids) // 8, -1)
+                vec = np.frombuffer(v_ids, np.int64)
+                sims = np.round(m @ np.frombuffer(v_rows).reshape(len(vec), -1).T, 6)
+                least = np.partition(sims, len(vec) - k, axis=1)[:, len(vec) - k] if len(vec) > k else np.full(len(m), -np.inf)
+                row, col = np.nonzero(~(sims < least[:, None]))
+                held = _best(np.concatenate((held[0], row)), np.concatenate((held[1], vec[col])), np.concatenate((held[2], sims[row, col])), k)
+        if ids is not None:
+            yield from out(ids[0], held)
+
+    def out(q_ids, held):
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(q_ids, np.int64)[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "vec_id", "sim"])
+
+    pairs = _packed(asked, "query_id", query_block).hint("shuffle_replicate_nl").crossJoin(_packed(vectors, "vec_id", block))
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, sim double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 

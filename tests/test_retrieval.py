@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessel import catalog
 from tessel.operators import dense, fusion, lexical, mutation, social
 from tessel.operators.index import Index
 from tessel.plans.search import Engine, LruCache
@@ -76,6 +77,28 @@ def test_vectors(spark, tmp_path):
     assert len(exact & {r[0] for r in ann.search(x[4], 5, probes=4).collect()}) >= 4
 
 
+def test_knn_batch(spark):
+    """Blocks of both sides, ties, null vectors and too few rows; the driver never collects the queries."""
+    x = np.round(np.random.RandomState(1).standard_normal((90, 4)), 1)
+    x[40:60] = x[3]
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(100, None)], "vec_id long, embedding array<double>").repartition(3)
+    q = t.filter("vec_id % 2 = 0").withColumnRenamed("vec_id", "query_id")
+    q.toPandas = None
+    want = {(i, int(v), n + 1) for i in range(0, 90, 2) for n, v in enumerate(np.lexsort((np.arange(90), -np.round(x @ x[i], 6)))[:10])}
+    for sizes in ({}, {"block": 7, "query_block": 4}):
+        got = dense.knn_batch(t, q, 10, **sizes).collect()
+        assert {(r["query_id"], r["vec_id"], r["rank"]) for r in got} == want and len(got) == len(want)
+    assert dense.knn_batch(t.filter("vec_id < 3"), q.filter("query_id = 2"), 10).count() == 3
+    assert dense.knn_batch(t, q.limit(0), 10).collect() == [] and dense.knn_batch(t.limit(0), q, 10).collect() == []
+
+
+def test_knn_batch_asks_every_id_divisible_by_50(spark):
+    d = "/root/testdata/sf0.01"
+    got = catalog.QUERIES["d2_knn_batch_all"](spark, d).collect()
+    ids = {r[0] for r in spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id % 50 = 0").select("vec_id").collect()}
+    assert {r["query_id"] for r in got} == ids and len(got) == 10 * len(ids)
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_ann_recall(spark, monkeypatch, sf):
     """The registered search itself, asked for every id divisible by 50: mean recall@10 of 0.9 at least."""
