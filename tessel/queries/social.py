@@ -112,6 +112,11 @@ def r10(spark, d):
     return connections(spark, d).filter("status = 'PENDING' AND to_id % 5 = 0").select("to_id", "from_id", "kind")
 
 
+@query("r10_incoming_pending_all", f"WITH {_CONN} SELECT to_id, from_id, kind FROM conn WHERE status = 'PENDING'")
+def r10_all(spark, d):
+    return connections(spark, d).filter("status = 'PENDING'").select("to_id", "from_id", "kind")
+
+
 @query("r11_profile_posts", f"WITH {_POSTS}, {_LIKES}, {_COMM} SELECT post_id, author, coalesce(nl, 0) AS n_likes, coalesce(nc, 0) AS n_comments FROM posts LEFT JOIN (SELECT post_id, count(*) AS nl FROM likes GROUP BY 1) USING (post_id) LEFT JOIN (SELECT post_id, count(*) AS nc FROM comm GROUP BY 1) USING (post_id)")
 def r11(spark, d):
     nl = likes(spark, d).dropDuplicates().groupBy("post_id").agg(F.count("*").alias("nl"))
@@ -168,6 +173,13 @@ def r19(spark, d):
     return social.either_slot(c, who).select("me", "conv_id", "updated")
 
 
+@query("r19_conversations_all", f"WITH {_MSGS}, c AS (SELECT conv_id, p1, p2, max(turn) AS updated FROM msgs GROUP BY ALL), w AS (SELECT p1 AS id FROM c UNION SELECT p2 FROM c) SELECT id AS me, conv_id, updated FROM c JOIN w ON p1 = id UNION ALL SELECT id, conv_id, updated FROM c JOIN w ON p2 = id WHERE p1 <> p2")
+def r19_all(spark, d):
+    c = messages(spark, d).groupBy("conv_id", "p1", "p2").agg(F.max("turn").alias("updated"))
+    who = c.select(F.col("p1").alias("id")).union(c.select("p2")).distinct()
+    return social.either_slot(c, who).select("me", "conv_id", "updated")
+
+
 @query("r20_mark_read", f"WITH {_MSGS} SELECT conv_id, turn, CASE WHEN (p1 = 7 OR p2 = 7) AND turn % 2 = 1 THEN 1 END AS read_at FROM msgs")
 def r20(spark, d):
     m = messages(spark, d).withColumn("sender", F.when(F.col("turn") % 2 == 0, 7).otherwise(-1)).withColumn("read_at", F.lit(None).cast("int"))
@@ -256,6 +268,12 @@ def r27(spark, d):
     return profiles(spark, d).join(c, "user_id").select("user_id", "c_name", "kind", "username")
 
 
+@query("r27_user_with_profiles_all", f"WITH {_PROFILES} SELECT user_id, c_name, kind, username FROM prof JOIN customer ON c_custkey = user_id")
+def r27_all(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return profiles(spark, d).join(c, "user_id").select("user_id", "c_name", "kind", "username")
+
+
 @query("r28_constraint_checks", f"WITH {_CONN} SELECT 'unique' AS rule, count(*) AS broken FROM (SELECT 1 FROM conn GROUP BY from_id, to_id, kind HAVING count(*) > 1) UNION ALL SELECT 'reference', count(*) FROM conn WHERE to_id NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'check', count(*) FROM conn WHERE from_id = to_id")
 def r28(spark, d):
     c = connections(spark, d)

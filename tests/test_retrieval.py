@@ -137,3 +137,18 @@ def test_engine_and_cache(spark, docs):
     c.put("c", "c")
     assert c.get("b") is None and c.get("a") == "a"
     assert LruCache(0).put("x", 1) is None
+
+
+def test_social_queries_return_every_row(spark):
+    """The whole queries return what no slice of ids holds; each holds the narrowed query's rows."""
+    d, q = "/root/testdata/sf0.01", catalog.QUERIES
+    ids = lambda name, column: {r[0] for r in spark.read.parquet(f"{d}/{name}.parquet").select(column).distinct().collect()}
+    users = q["r27_user_with_profiles_all"](spark, d).collect()
+    assert {r["user_id"] for r in users} == ids("customer", "c_custkey") and len(users) == 3 * len({r["user_id"] for r in users})
+    pending = q["r10_incoming_pending_all"](spark, d).collect()
+    assert {r["to_id"] % 5 for r in pending} == set(range(5))
+    convs = ids("conversations", "conv_id")
+    mine = q["r19_conversations_all"](spark, d).collect()
+    assert {(r["me"], r["conv_id"]) for r in mine} == {(p, c) for c in convs for p in (c % 100, 100 + c % 77)} and len(mine) == 2 * len(convs)
+    for name, rows in (("r27_user_with_profiles", users), ("r10_incoming_pending", pending), ("r19_conversations", mine)):
+        assert set(q[name](spark, d).collect()) < set(rows)
