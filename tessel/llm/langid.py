@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -9,25 +10,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bound of the sample that the automata are built from: characters a language, characters a row, rows a language.
 FIT_CHARS, FIT_ROW_CHARS, FIT_ROWS = 24_000, 600, 80
-#: Languages learned at most: the most frequent labels.
-FIT_LANGS = 64
 #: Code points parsed in one go; a phrase ends at the edge of such a piece.
 PIECE = 512
 UNKNOWN = "und"
-_LETTERS = 60
+#: Cells of the dense transition tables of a parser; languages beyond it keep their transitions sparse.
+DENSE_CELLS = 32_000_000
 
 
 def fold(codes: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
     """Symbols of code points: 0 anything but a letter, 1 a letter unseen in training, 2.. the alphabet."""
-    out = alphabet[np.minimum(codes, len(alphabet) - 1)]
-    far = codes >= len(alphabet)  # beyond the table: each distinct code point is looked at once
-    if far.any():
-        values, where = np.unique(codes[far], return_inverse=True)
-        out[far] = np.array([chr(v).isalpha() for v in values.tolist()], out.dtype)[where]
-    return out
+    return alphabet[codes]
 
 
 def _codes(text: str) -> np.ndarray:
@@ -35,10 +31,10 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _alphabet(texts: list[str]) -> np.ndarray:
-    """Table from code point to symbol; code points beyond it are never in the alphabet."""
-    table = np.array([int(chr(c).isalpha()) for c in range(0x3100)], np.int16)
-    seen = Counter(c for t in texts for c in t.lower() if c.isalpha() and ord(c) < len(table))
-    for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:_LETTERS]):
+    """Table from code point to symbol; every letter of texts has its own."""
+    table = np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)], np.int32)
+    seen = Counter(c for t in texts for c in t.lower() if c.isalpha())
+    for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))):
         table[ord(c)] = i + 2
     return table
 
@@ -73,29 +69,53 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return trans
 
 
-class Parser:
-    """Automata of all languages in one table: the next state of (state, symbol), with a bit where a phrase ends."""
+class _Automaton:
+    """One language's next state of (state, symbol), with a bit where a phrase ends.
+
+    Its letters have numbers of their own: 0 no letter, 1 a letter that its sample lacks, 2.. the others. The
+    transitions are a dense table if room allows, else sorted keys.
+    """
 
     ENDS = np.int32(1 << 30)
 
+    def __init__(self, symbols: np.ndarray, width: int, room: int) -> None:
+        own = np.unique(symbols[symbols > 1])
+        self.local = np.minimum(np.arange(width, dtype=np.int32), 1)
+        self.local[own] = np.arange(2, len(own) + 2)
+        self.width = len(own) + 2
+        trans = suffix_automaton(self.local[symbols].tolist())
+        key, to = (np.fromiter(x, np.int64) for x in ((s * self.width + c for s, out in enumerate(trans) for c in out), (t for out in trans for t in out.values())))
+        start = np.zeros(self.width, np.int32)  # a phrase that ends here restarts with this symbol
+        for c, t in trans[0].items():
+            start[c] = t
+        self.cells = len(trans) * self.width
+        self.start = start | self.ENDS
+        if self.cells <= room:
+            self.table = np.tile(self.start, len(trans))
+            self.table[key] = to
+        else:
+            self.table, order = None, np.argsort(key)
+            self.key, self.to = np.append(key[order], np.iinfo(np.int64).max), np.append(to[order], 0).astype(np.int32)
+
+    def next(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[state * self.width + symbol]
+        key = state.astype(np.int64) * self.width + symbol
+        at = np.searchsorted(self.key, key)
+        return np.where(self.key[at] == key, self.to[at], self.start[symbol])
+
+
+class Parser:
+    """Automata of all languages over one alphabet."""
+
     def __init__(self, training: dict[str, str]) -> None:
         self.langs = sorted(training)
         self.alphabet = _alphabet([training[x] for x in self.langs])
-        width = int(self.alphabet.max()) + 1
-        tables, self.roots, at = [], [], 0
+        self.automata, room = [], DENSE_CELLS
         for lang in self.langs:
-            trans = suffix_automaton(squeeze(fold(_codes(training[lang].lower()), self.alphabet)).tolist())
-            table = np.full((len(trans), width), -1, np.int32)
-            for s, out in enumerate(trans):
-                for c, t in out.items():
-                    table[s, c] = t
-            start = np.where(table[0] >= 0, table[0], 0)  # a phrase that ends here restarts with this symbol
-            table = np.where(table >= 0, table + at, (start + at) | self.ENDS)
-            tables.append(table)
-            self.roots.append(at)
-            at += len(trans)
-        self.width = width
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            made = _Automaton(squeeze(fold(_codes(training[lang].lower()), self.alphabet)), int(self.alphabet.max()) + 1, room)
+            room -= made.cells if made.table is not None else 0
+            self.automata.append(made)
 
     def phrases(self, pieces: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each row of pieces (symbols, row-wise padded; lengths falling) in each language."""
@@ -103,16 +123,16 @@ class Parser:
         count = np.ones((langs, n), np.int32)
         columns = np.ascontiguousarray(pieces.T).astype(np.int32)
         live = np.searchsorted(-lengths, -np.arange(1, pieces.shape[1] + 1), side="right")
-        for k, root in enumerate(self.roots):
-            state = np.full(n, root, np.int32)
+        for k, automaton in enumerate(self.automata):
+            state = np.zeros(n, np.int32)
             c = count[k]
             for j in range(pieces.shape[1]):
                 m = live[j]
                 if not m:
                     break
-                nxt = self.table[state[:m] * self.width + columns[j, :m]]
+                nxt = automaton.next(state[:m], automaton.local[columns[j, :m]])
                 c[:m] += nxt >> 30
-                state[:m] = nxt & (self.ENDS - 1)
+                state[:m] = nxt & (_Automaton.ENDS - 1)
         return count
 
 
@@ -144,13 +164,15 @@ def training_text(rows: DataFrame) -> dict[str, str]:
     reruns agree; rows repeat no text twice.
     """
     rows = rows.filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_LANGS).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    rate = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, FIT_ROWS / n)))
+    rates = rows.sparkSession.createDataFrame([(lang, FIT_ROWS / n) for lang, n in counts.items()], "lang string, rate double")
     u = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = rows.withColumn("rate", F.try_element_at(rate, F.col("lang"))).withColumn("u", u).filter("u < rate")
-    some = some.select("lang", F.substring("text", 1, FIT_ROW_CHARS).alias("text"), "u").orderBy("lang", "u").limit(2 * FIT_ROWS * len(counts))
+    some = rows.withColumn("u", u).join(F.broadcast(rates), "lang").filter("u < rate")
+    some = some.select("lang", F.substring("text", 1, FIT_ROW_CHARS).alias("text"), "u")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
+    some = some.withColumn("nth", nth).filter(F.col("nth") <= 2 * FIT_ROWS).orderBy("lang", "nth")
     out: dict[str, list[str]] = {lang: [] for lang in counts}
     for r in some.collect():
         if r["text"] not in out[r["lang"]]:
@@ -175,7 +197,7 @@ def _score(it: Iterator[pa.RecordBatch], training: dict[str, str], rows: int = 4
                     return pieces.clear() or owner.clear()
                 lengths = np.array([len(p) for p in pieces])
                 order = np.argsort(-lengths, kind="stable")
-                grid = np.zeros((len(pieces), int(lengths.max())), np.int16)
+                grid = np.zeros((len(pieces), int(lengths.max())), np.int32)
                 for row, i in enumerate(order):
                     grid[row, : lengths[i]] = pieces[i]
                 found = parser.phrases(grid, lengths[order])

@@ -180,6 +180,43 @@ def test_language(docs, empty, spark):
     assert langid.identify(empty).collect() == [] and {r["lang_pred"] for r in langid.identify(t.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_learns_every_label_and_letter(spark):
+    rnd = random.Random(8)
+    make = lambda parts, n: " ".join("".join(rnd.choice(parts) for _ in range(4)) for _ in range(n))
+    scripts = {"zh": range(0x4E00, 0x4E40), "ko": range(0xAC00, 0xAC40), "ru": range(0x430, 0x450), "el": range(0x3B1, 0x3CA), "ar": range(0x627, 0x63B)}
+    letters = {k: [chr(c) for c in v] for k, v in scripts.items()}
+    for i in range(70):
+        letters[f"l{i:02}"] = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(4)]
+    assert len(letters) > 64
+    data = [(j * 100 + i, make(parts, 20), lang) for i, (lang, parts) in enumerate(letters.items()) for j in range(8)]
+    t = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    training = langid.training_text(t)
+    assert set(training) == set(letters)
+    asked = spark.createDataFrame([(i, make(parts, 20), lang) for i, (lang, parts) in enumerate(letters.items())], t.schema)
+    want = dict(enumerate(letters))
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(asked, training).collect()} == want
+    pieces = [langid.squeeze(langid.fold(langid._codes(x), langid.Parser(training).alphabet)) for x in (data[0][1], data[-1][1])]
+    assert len(set(pieces[0].tolist())) > 20 and 1 not in pieces[0]
+
+
+@pytest.mark.parametrize("cells", [0, 32_000_000])
+def test_sparse_and_dense_automata_agree(monkeypatch, cells):
+    monkeypatch.setattr(langid, "DENSE_CELLS", cells)
+    train = {"x": "abracadabra banana", "z": "\u4e2d\u6587\u4e2d\u6587 \u4e2d abra"}
+    p = langid.Parser(train)
+    assert [a.table is None for a in p.automata] == [cells == 0] * 2
+    for text in ("abra ban", "nanacad", "\u4e2d\u6587 \u4e2d", "zzz", "\u6587\u4e2dabra"):
+        s = langid.squeeze(langid.fold(langid._codes(text), p.alphabet))
+        want = []
+        for sample in train.values():
+            phrases, cur = 1, ""
+            for c in text:
+                longer = cur + c in sample
+                phrases, cur = (phrases, cur + c) if longer else (phrases + 1, c if c in sample else "")
+            want.append(phrases)
+        assert p.phrases(s[None], np.array([len(s)]))[:, 0].tolist() == want
+
+
 def test_cross_parsing_is_greedy_longest_match():
     train = "abracadabra banana"
     p = langid.Parser({"x": train})
