@@ -9,6 +9,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessel.llm import langid, mixing, ngram_join, packing, secrets
 from tessel.llm._common import shared_dir, small, staged
@@ -20,10 +22,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the least doc_id."""
-    found = ngram_join.near_duplicates(docs.select("doc_id", "text"))
-    gone = staged(found.filter("component_id is not null and component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(small(gone, 2_000_000), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate group stays: the least doc_id, null ids last, then the least hash of the text.
+
+    A row is known by its doc_id and a hash of its text, so one id over two texts is two rows, each of its own group.
+    Of rows equal in both, the first by their other columns stays. Rows without words are in no group and stay.
+    """
+    own = F.xxhash64("text")
+    key = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), own.alias("own"))
+    found = ngram_join.near_duplicates(docs.select(key.alias("doc_id"), "text")).filter("n_shingles > 0")
+    kinds = found.groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
+    kinds = kinds.select(F.col("doc_id.id").alias("id"), F.col("doc_id.own").alias("own"), (F.col("component_id") == F.col("doc_id")).alias("leads"), "n")
+    marks = staged(kinds.filter("not leads or n > 1"), "marks")
+    same = docs["doc_id"].eqNullSafe(F.col("id")) & (own == F.col("own"))
+    out = docs.join(small(marks.select("id", "own"), 2_000_000), same, "left_anti").select(*docs.columns)
+    again = staged(marks.filter("leads").select("id", "own"), "again")
+    if again.isEmpty():
+        return out
+    nth = F.row_number().over(Window.partitionBy("id", "own").orderBy(*docs.columns))
+    first = docs.join(small(again, 2_000_000), same).withColumn("nth", nth).filter("nth = 1")
+    return out.unionByName(first.select(*docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

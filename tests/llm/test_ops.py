@@ -363,3 +363,29 @@ def test_pipeline(spark, docs, tmp_path, rows):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = {r["doc_id"] for r in out}
     assert not ids & {0, 1, 3, 5, 6, 92} and [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "secrets", "mixture", "packing"]
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(12)
+    a, b, c, d, e = (words(rnd, 40) for _ in range(5))
+    data = [
+        (None, a, "s"), (None, a, "t"), (5, a, "s"),  # copies without id of a numbered document
+        (7, b, "s"), (7, b, "s"), (7, b, "t"), (8, b + " more", "s"),  # the leader's row repeats
+        (9, c, "s"), (9, d, "s"), (4, d, "s"), (10, c, "s"),  # 9 leads a group and loses in another
+        (None, e, "s"), (None, e, "s"), (None, e + " more", "s"),  # null ids only
+        (20, "", "s"), (20, "", "s"), (None, None, "s"), (None, None, "s"), (21, words(rnd, 40), "s"),
+    ]
+    t = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicates(spark, t, "")
+    assert got.columns == t.columns
+    got = [tuple(r) for r in got.collect()]
+    kept = collections.Counter((r[0], r[1]) for r in got)
+    lone = {k for k in kept if k[0] is None and k[1] is not None}
+    assert len(lone) == 1 and lone <= {(None, e), (None, e + " more")}
+    for k in lone:
+        assert kept.pop(k) == 1
+    assert kept == {(5, a): 1, (7, b): 1, (9, c): 1, (4, d): 1, (20, ""): 2, (None, None): 2, (21, data[-1][1]): 1}
+    assert (7, b, "s") in got
+    assert corpus_pipeline.near_duplicates(spark, t.limit(0), "").collect() == []
