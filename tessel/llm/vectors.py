@@ -13,7 +13,7 @@ from tessel.llm._common import staged
 from tessel.llm.components import connected_components
 
 #: Chance that a pair at the threshold meets in some table.
-RECALL = 0.97
+RECALL = 0.99
 #: Vectors of a bucket that one task compares at once; a larger bucket is cut into blocks and compared by pairs of blocks.
 BLOCK = 1024
 

@@ -324,6 +324,12 @@ def test_vectors(spark):
     assert vectors.near_duplicates(t.limit(0)).collect() == []
 
 
+def test_vector_plan_recall():
+    for n in (100, 2_000, 50_000, 1_000_000, 30_000_000):
+        bits, tables = vectors.plan(n, 0.95)
+        assert 1 - (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables >= 0.99
+
+
 def test_vector_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 8)
     v = np.array([1.0] + [0.0] * 7)
