@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table of a few narrow columns is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch. The JVM holds a few batches a task outside its heap, and Python as much again.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,9 +37,24 @@ def staged(df: DataFrame, name: str = "t") -> DataFrame:
     joins start from two plain scans, which adaptive execution can split when a key is hot.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tessel-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df.staged_path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -44,3 +64,44 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session by BATCH_BYTES, if they are not bounded closer."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    at = spark.conf.get(key, "64m").removesuffix("b")
+    if not at.isdigit() or int(at) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def _release() -> None:
+    """Gives freed memory of this process back to the system; later stages of the executor need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow or mapInPandas, which gives freed memory back when its partition ends."""
+
+    def wrapped(it: Iterator) -> Iterator:
+        try:
+            yield from run(it)
+        finally:
+            _release()
+
+    return wrapped
+
+
+_MODEL: list = [None, None]
+
+
+def model(key: object, build: Callable[[], object]) -> object:
+    """What build() makes for key, kept until another key comes: a worker process holds one model of any operator."""
+    if _MODEL[0] != key:
+        _MODEL[:] = [None, None]
+        _release()
+        _MODEL[:] = [key, build()]
+    return _MODEL[1]

@@ -12,13 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessel.llm._common import model, small_batches, tidy
+
 #: Bound of the sample that the automata are built from: characters a language, characters a row, rows a language.
 FIT_CHARS, FIT_ROW_CHARS, FIT_ROWS = 24_000, 600, 80
-#: Code points parsed in one go; a phrase ends at the edge of such a piece.
-PIECE = 512
+#: Symbols of a piece, and pieces that are parsed side by side. Phrases run on over the edges of pieces.
+PIECE, PIECES = 512, 2048
 UNKNOWN = "und"
+#: Symbols that a phrase holds on average at least in a text that is of a known language at all.
+LEAST_PHRASE = 1.5
 #: Cells of the dense transition tables of a parser; languages beyond it keep their transitions sparse.
-DENSE_CELLS = 32_000_000
+DENSE_CELLS = 8_000_000
 
 
 def fold(codes: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
@@ -117,23 +121,53 @@ class Parser:
             room -= made.cells if made.table is not None else 0
             self.automata.append(made)
 
-    def phrases(self, pieces: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each row of pieces (symbols, row-wise padded; lengths falling) in each language."""
-        n, langs = len(pieces), len(self.langs)
-        count = np.ones((langs, n), np.int32)
+    def phrases(self, pieces: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = None, entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases that end in each row of pieces, state after it), both by language.
+
+        pieces has symbols, padded row by row, and lengths fall. before: the row that each row goes on from, -1 for none;
+        such a row enters in that row's last state, the others in entry (by language; the start state by default). All rows
+        are parsed at once from their assumed states. Where a row turns out to be entered in another state, it is parsed
+        again up to the symbol at which both parses agree, which is a phrase or two.
+        """
+        n, langs, width = len(pieces), len(self.langs), pieces.shape[1]
+        before = np.full(n, -1) if before is None else before
+        ended, last = np.zeros((langs, n), np.int64), np.zeros((langs, n), np.int32)
         columns = np.ascontiguousarray(pieces.T).astype(np.int32)
-        live = np.searchsorted(-lengths, -np.arange(1, pieces.shape[1] + 1), side="right")
+        live = np.searchsorted(-lengths, -np.arange(1, width + 1), side="right")
         for k, automaton in enumerate(self.automata):
-            state = np.zeros(n, np.int32)
-            c = count[k]
-            for j in range(pieces.shape[1]):
+            enter = np.zeros(n, np.int32) if entry is None else entry[k].astype(np.int32)
+            states = np.zeros((width, n), np.int32)
+            ends = np.zeros((width, n), bool)
+            state = enter.copy()
+            for j in range(width):
                 m = live[j]
                 if not m:
                     break
                 nxt = automaton.next(state[:m], automaton.local[columns[j, :m]])
-                c[:m] += nxt >> 30
+                ends[j, :m] = nxt >> 30
                 state[:m] = nxt & (_Automaton.ENDS - 1)
-        return count
+                states[j, :m] = state[:m]
+            follows = before >= 0
+            while True:
+                due = np.flatnonzero(follows & (np.where(follows, state[before], enter) != enter))
+                if not len(due):
+                    break
+                enter[due] = at = state[before[due]]
+                for j in range(width):
+                    on = lengths[due] > j
+                    due, at = due[on], at[on]
+                    if not len(due):
+                        break
+                    nxt = automaton.next(at, automaton.local[columns[j, due]])
+                    ends[j, due] = nxt >> 30
+                    at = nxt & (_Automaton.ENDS - 1)
+                    apart = at != states[j, due]
+                    states[j, due] = at
+                    done = lengths[due] == j + 1
+                    state[due[done]] = at[done]
+                    due, at = due[apart], at[apart]
+            ended[k], last[k] = ends.sum(axis=0), state
+        return ended, last
 
 
 def squeeze(symbols: np.ndarray) -> np.ndarray:
@@ -145,16 +179,9 @@ def squeeze(symbols: np.ndarray) -> np.ndarray:
     return symbols[keep]
 
 
-_PARSERS: dict[tuple, Parser] = {}
-
-
 def _parser(training: dict[str, str]) -> Parser:
-    """One parser a worker process, built from the training text when first needed."""
-    key = tuple(sorted(training.items()))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = Parser(training)
-    return _PARSERS[key]
+    """The parser of a worker process, built from the training text when first needed."""
+    return model(("parser", tuple(sorted(training.items()))), lambda: Parser(training))
 
 
 def training_text(rows: DataFrame) -> dict[str, str]:
@@ -182,52 +209,70 @@ def training_text(rows: DataFrame) -> dict[str, str]:
     return {lang: t[: max(least, FIT_CHARS // 4)] for lang, t in found.items() if t}  # near equal lengths: a longer text alone parses better
 
 
+class _Counts:
+    """Phrases of many texts in each language; pieces of texts are gathered and parsed side by side."""
+
+    def __init__(self, parser: Parser, texts: int) -> None:
+        self.parser, self.phrases = parser, np.zeros((max(1, len(parser.langs)), texts), np.int64)
+        self.pieces: list[np.ndarray] = []
+        self.owner: list[int] = []
+        self.carried: tuple[int, np.ndarray] | None = None  # the text of the last piece parsed, and its states
+
+    def add(self, text: int, symbols: np.ndarray) -> None:
+        for j in range(0, len(symbols), PIECE):
+            self.pieces.append(symbols[j : j + PIECE])
+            self.owner.append(text)
+            if len(self.pieces) >= PIECES:
+                self.flush()
+
+    def flush(self) -> None:
+        if not self.pieces or not self.parser.langs:
+            return
+        lengths, owner = np.array([len(p) for p in self.pieces]), np.array(self.owner)
+        order = np.argsort(-lengths, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        grid = np.zeros((len(order), int(lengths.max())), np.int32)
+        for row, i in enumerate(order):
+            grid[row, : lengths[i]] = self.pieces[i]
+        before = np.full(len(order), -1)
+        on = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        before[place[on]] = place[on - 1]
+        entry = np.zeros((len(self.parser.langs), len(order)), np.int32)
+        if self.carried and self.carried[0] == owner[0]:
+            entry[:, place[0]] = self.carried[1]
+        ended, last = self.parser.phrases(grid, lengths[order], before, entry)
+        for k in range(len(self.parser.langs)):
+            np.add.at(self.phrases[k], owner[order], ended[k])
+        self.carried = owner[-1], last[:, place[-1]]
+        self.pieces.clear()
+        self.owner.clear()
+
+
 def _score(it: Iterator[pa.RecordBatch], training: dict[str, str], rows: int = 400) -> Iterator[pa.RecordBatch]:
+    """(doc_id, lang_pred, score, phrase_rate) of batches of (doc_id, text)."""
     parser = _parser(training)
     for whole in it:
         for at in range(0, whole.num_rows, rows):
             batch = whole.slice(at, rows)
-            texts = [(t or "").lower() for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
             n = len(texts)
-            phrases, letters, symbols = np.zeros((max(1, len(parser.langs)), n)), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            pieces, owner = [], []
-
-            def flush() -> None:
-                if not pieces or not parser.langs:
-                    return pieces.clear() or owner.clear()
-                lengths = np.array([len(p) for p in pieces])
-                order = np.argsort(-lengths, kind="stable")
-                grid = np.zeros((len(pieces), int(lengths.max())), np.int32)
-                for row, i in enumerate(order):
-                    grid[row, : lengths[i]] = pieces[i]
-                found = parser.phrases(grid, lengths[order])
-                for k in range(len(parser.langs)):
-                    np.add.at(phrases[k], np.array(owner)[order], found[k])
-                pieces.clear()
-                owner.clear()
-
+            letters, symbols, counts = np.zeros(n, np.int64), np.zeros(n, np.int64), _Counts(parser, n)
             for i, t in enumerate(texts):
-                s = squeeze(fold(_codes(t), parser.alphabet))
+                s = squeeze(fold(_codes((t or "").lower()), parser.alphabet))
                 letters[i], symbols[i] = np.count_nonzero(s), len(s)
                 if letters[i]:
-                    for j in range(0, len(s), PIECE):
-                        pieces.append(s[j : j + PIECE])
-                        owner.append(i)
-                        if len(pieces) >= 4096:
-                            flush()
-            flush()
-            best, second = np.zeros(n, np.int64), np.ones(n)
-            if len(parser.langs):
-                best = phrases.argmin(axis=0)
-                ordered = np.sort(phrases, axis=0)
+                    counts.add(i, s)
+            counts.flush()
+            phrases = counts.phrases + 1  # the last phrase ends with the text
+            best, score = np.zeros(n, np.int64), np.zeros(n)
+            if parser.langs:
+                best, ordered = phrases.argmin(axis=0), np.sort(phrases, axis=0)
                 second = ordered[1] if len(parser.langs) > 1 else symbols
-                with np.errstate(all="ignore"):
-                    score = np.where(letters > 0, np.clip(1 - ordered[0] / np.maximum(second, 1), 0, 1), 0.0)
-            else:
-                score = np.zeros(n)
+                score = np.where(letters > 0, np.clip(1 - ordered[0] / np.maximum(second, 1), 0, 1), 0.0)
             pred = [parser.langs[b] if letters[i] and parser.langs else UNKNOWN for i, b in enumerate(best)]
             rate = np.where(letters > 0, phrases.min(axis=0) / np.maximum(symbols, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "phrase_rate"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "phrase_rate"])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -242,30 +287,34 @@ def identify(docs: DataFrame, training: dict[str, str] | None = None) -> DataFra
     that the sample holds; the fewer phrases per symbol, the lower the cross entropy. The language needing fewest
     wins, ties go to the first label by code point; score is 1 - phrases / phrases of the runner-up. Letters are
     lower-cased, other characters separate. Null text, text without letters, or a table without usable labels: `und`
-    with score 0. Labels of held-out documents are never read.
+    with score 0. Labels of held-out documents are never read. Long texts are parsed in pieces side by side, with the
+    phrases of one pass. Rows that repeat get equal results; columns besides doc_id, text and lang are ignored, whatever
+    their names; an empty table gives an empty result.
     """
     if training is None:
         training = training_text(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(lambda it: _score(it, training), f"doc_id {kind}, lang_pred string, score double, phrase_rate double")
+    out = docs.select("doc_id", "text").mapInArrow(tidy(lambda it: _score(it, training)), f"doc_id {kind}, lang_pred string, score double, phrase_rate double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "phrase_rate")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without those that no language is found for; columns as they were."""
-    letters = F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
+    """docs whose predicted language is a learned one and fits; columns as they were, whatever their names.
+
+    Left out are texts that are null or without letters, all texts if no label is usable, and texts that even the best
+    language needs more than one phrase for every LEAST_PHRASE symbols of: nearly none of its letters stand together in
+    any sample, as in a script that was never learned.
+    """
     training = training_text(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    if not training:
-        return docs.filter(F.lit(False))
-    names, kinds = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    at = docs.columns.index("text")
+    small_batches(docs.sparkSession)
 
-    def run(it):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ids = pa.array(range(batch.num_rows))
-            text = batch.column(names.index("text"))
-            for found in _score(iter([pa.RecordBatch.from_arrays([ids, text], ["doc_id", "text"])]), training):
-                keep = [p != UNKNOWN for p in found.column(1).to_pylist()]
-                at = found.column(0).to_numpy()
-                yield batch.take(pa.array(at[np.array(keep, bool)]))
-
-    return docs.filter(letters).mapInArrow(run, kinds)
+            asked = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(at)], ["doc_id", "text"])
+            for found in _score(iter([asked]), training):
+                keep = [p != UNKNOWN and r * LEAST_PHRASE <= 1 for p, r in zip(found.column(1).to_pylist(), found.column(3).to_pylist(), strict=True)]
+                yield batch.take(found.column(0).filter(pa.array(keep, pa.bool_())))
+
+    return docs.mapInArrow(tidy(run), docs.schema)

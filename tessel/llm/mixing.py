@@ -1,4 +1,11 @@
-"""Mixing sources to target weights with DataFrame functions only."""
+"""Mixing sources to target weights with DataFrame functions only.
+
+A document is emitted floor(rate) times and once more if its hash-seeded draw is below a threshold. The threshold of the
+first document of a source is the fraction of the rate; that of every later one is what is still wanted of extra copies,
+divided by what is still to be drawn. That quotient is a martingale, so every document's chance of an extra copy is the
+fraction (but where the quotient leaves 0..1), while a draw that misses is made up for by those that follow. Documents
+follow each other by falling weight; after the LARGE heaviest ones of a source, the threshold stays as it is.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +17,8 @@ from tessel.llm._common import WORD, small, staged
 
 #: The number that thirteen hexadecimal digits can't reach.
 _SPAN = float(16**13)
-#: Series of draws that each source chooses from.
-TRIALS = 16
+#: Documents of a source that are drawn one after another; what they weigh bounds how far the others can stray.
+LARGE = 256
 
 
 def words(text: Column) -> Column:
@@ -19,9 +26,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def draw(doc_id: Column, seed: int, trial: Column) -> Column:
-    """A number in [0, 1) that only seed, trial and doc_id decide."""
-    key = F.concat(F.lit(f"{seed}:"), trial.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("-")))
+def draw(doc_id: Column, size: Column, seed: int) -> Column:
+    """A number in [0, 1) that only seed, doc_id and size decide."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), size.cast("string"))
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(_SPAN)
 
 
@@ -49,58 +56,73 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return free.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def _chosen(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
-    """targets with trial: of TRIALS series of draws the one whose extra copies bring the source nearest its target.
-
-    One long document can carry a small source far off its target under any single series. The sums of all series are
-    taken in one aggregation, combined before the shuffle. Ties go to the first series.
-    """
-    t = _rates(small(staged(targets.withColumnRenamed("source", "source_of_"), "targets")))
-    rated = sized.select("doc_id", "source", "size").join(t, F.col("source").eqNullSafe(F.col("source_of_")))
-    sums = [F.sum(F.when(draw(F.col("doc_id"), seed, F.lit(j)) < F.col("part_"), F.col("size")).otherwise(0)) for j in range(TRIALS)]
-    found = rated.groupBy("source_of_", "source_size", "target", "whole_").agg(F.array(*sums).alias("sums"))
-    wanted = F.col("target") - F.col("whole_") * F.col("source_size")
-    off = F.transform("sums", lambda x, j: F.struct(F.abs(x - wanted).alias("off"), j.alias("trial_")))
-    return found.select("source_of_", "source_size", "target", F.array_min(off)["trial_"].alias("trial_"))
-
-
-def _rates(targets: DataFrame) -> DataFrame:
-    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    return targets.withColumns({"whole_": F.floor(rate), "part_": rate - F.floor(rate)})
+def _quotient(wanted: Column, left: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(wanted, left), F.lit(0.0))))
 
 
-def repetition(docs: DataFrame, seed: int = 9, **rates) -> DataFrame:
-    """docs with size, source_size, target and copies: floor(rate) plus one more copy with probability rate - floor(rate).
+def thresholds(sized: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(rates, picks) from sized(doc_id, source, size) and source_targets().
 
-    rate = target / source_size. A draw depends on the seed, the source's series (one of TRIALS, see _chosen) and doc_id
-    alone, so reruns agree; rows of a source that repeat a doc_id share its draw. A source without words has rate 0.
-    Null text counts no words; null is a source of its own.
-    The output has the input's columns first; its own columns replace input columns of the same names.
+    rates has a row per source: source_, source_size, target, whole_ (copies of each document), part_ (threshold of the
+    documents without a pick). picks has a row for each of the LARGE heaviest units of a source: source_, id_, size_,
+    extra_. A unit is all rows of a source that agree in doc_id and size; they share a draw and weigh together.
     """
-    docs = docs.drop("size", "source_size", "target", "copies")
-    sized = staged(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
-    return _repeat(docs.withColumn("size", words(F.col("text"))), _chosen(sized, source_targets(sized, **rates), seed), seed)
-
-
-def _repeat(sized: DataFrame, chosen: DataFrame, seed: int) -> DataFrame:
-    t = _rates(small(staged(chosen, "chosen")))
-    out = sized.join(t, sized["source"].eqNullSafe(t["source_of_"]), "left")
-    extra = F.when(draw(F.col("doc_id"), seed, F.col("trial_")) < F.col("part_"), 1).otherwise(0)
-    return out.withColumn("copies", (F.col("whole_") + extra).cast("long")).drop("source_of_", "trial_", "whole_", "part_")
+    units = sized.filter("size > 0").groupBy("source", "doc_id", "size").agg((F.count("*") * F.col("size")).alias("weight"))
+    nth = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("weight"), F.col("doc_id").asc_nulls_last(), "size"))
+    heavy = units.withColumn("nth", nth).filter(F.col("nth") <= LARGE).withColumn("u", draw(F.col("doc_id"), F.col("size"), seed))
+    heavy = heavy.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("nth", "weight", "u", "doc_id", "size"))).alias("units"))
+    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+    t = small(staged(targets.withColumn("whole_", F.floor(rate)).withColumnRenamed("source", "source_"), "targets"))
+    start = F.struct(
+        (F.col("target") - F.col("whole_") * F.col("source_size")).cast("double").alias("wanted"),
+        F.col("source_size").cast("double").alias("left"),
+        F.array().cast("array<boolean>").alias("picks"),
+    )
+
+    def step(state: Column, unit: Column) -> Column:
+        extra = unit["u"] < _quotient(state["wanted"], state["left"])
+        weight = unit["weight"].cast("double")
+        return F.struct(
+            (state["wanted"] - F.when(extra, weight).otherwise(0.0)).alias("wanted"),
+            (state["left"] - weight).alias("left"),
+            F.concat(state["picks"], F.array(extra)).alias("picks"),
+        )
+
+    drawn = t.join(heavy, F.col("source_").eqNullSafe(F.col("source")), "left")
+    drawn = drawn.withColumn("state", F.aggregate(F.coalesce("units", F.array().cast(heavy.schema["units"].dataType)), start, step))
+    drawn = staged(drawn.select("source_", "source_size", "target", "whole_", _quotient(F.col("state.wanted"), F.col("state.left")).alias("part_"), F.arrays_zip("units", "state.picks").alias("drawn")), "drawn")
+    picks = drawn.select("source_", F.explode("drawn").alias("d"))
+    picks = picks.select("source_", F.col("d.units.doc_id").alias("id_"), F.col("d.units.size").alias("size_"), F.col("d.picks").alias("extra_"))
+    return drawn.drop("drawn"), picks
+
+
+def _repeated(sized: DataFrame, narrow: DataFrame, seed: int, rates: dict) -> DataFrame:
+    """sized with source_size, target and copies; narrow is its staged (doc_id, source, size)."""
+    per, picks = thresholds(narrow, source_targets(narrow, **rates), seed)
+    per, picks = small(per), small(staged(picks, "picks"))
+    out = sized.join(per, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
+    same = F.col("source").eqNullSafe(F.col("source_")) & F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("size") == F.col("size_"))
+    out = out.join(picks, same, "left")
+    extra = F.coalesce("extra_", draw(F.col("doc_id"), F.col("size"), seed) < F.col("part_"))
+    return out.withColumn("copies", (F.col("whole_") + extra.cast("int")).cast("long"))
 
 
 def mix_report(docs: DataFrame, seed: int = 9, **rates) -> DataFrame:
-    """Per document: size, its source's size and target, and the words that the mix takes from it.
+    """Per document: size, its source's size and target, the words that the mix takes from it, source and copies.
 
-    The text is parsed once; sizes are staged and the totals, the draws and the rates are read from that narrow table.
+    rate = target / source_size; a document is taken floor(rate) times and once more by its draw (see above). Reruns
+    agree. Rows of a source that agree in doc_id and size share a draw. A source without words has rate 0. Null text
+    counts no words; null is a source of its own. Whole texts are counted, by the JVM alone. Columns besides doc_id,
+    source and text are ignored, whatever their names. An empty table gives an empty result.
     """
     sized = staged(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
-    out = _repeat(sized, _chosen(sized, source_targets(sized, **rates), seed), seed)
+    out = _repeated(sized, sized, seed, rates)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
 def mix(docs: DataFrame, seed: int = 9, **rates) -> DataFrame:
-    """docs with each row repeated `copies` times (0: left out), columns as they were."""
-    out = repetition(docs, seed, **rates).filter("copies > 0")
-    copies = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
-    return out.withColumn("_copy", copies).select(*docs.columns)
+    """docs with each row repeated `copies` times (0: left out), as in mix_report; all columns as they were, whatever their names."""
+    narrow = staged(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
+    rows = docs.select(F.struct("*").alias("row_"), "doc_id", "source", words(F.col("text")).alias("size"))
+    out = _repeated(rows, narrow, seed, rates).filter("copies > 0")
+    return out.select("row_", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy_")).select("row_.*")

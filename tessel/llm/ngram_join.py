@@ -2,7 +2,9 @@
 
 1. Documents become sets of 64-bit shingle hashes; equal sets fall into one class, so copies cost nothing more.
 2. The hash order of n-grams is cut into fragments. A fragment holds the pieces of all sets that fall into it and is
-   counted on its own: the document frequency of each of its n-grams.
+   counted on its own: the document frequency of each of its n-grams. A task sends a class once, however many copies it
+   reads. N-grams that would fill a fragment alone are found in a sample; they are not counted but take the last places
+   of the order, and their rows are dealt by class. Any choice of such n-grams gives the same links.
 3. Classes are gathered again with their n-grams of frequency two and more (the only ones that two sets can share).
    A class whose shared part is below the threshold of its size links with nothing. The others order their n-grams
    by (frequency, hash), one global order, and two sets that link must meet in a short prefix of it.
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm._common import partitions, staged
+from tessel.llm._common import discard, partitions, staged, tidy
 from tessel.llm._text import lower_ascii, mix, shingle_set, word_hashes
 from tessel.llm.components import connected_components
 
 #: N-grams that a fragment should hold on average; its reducer sorts them in memory.
-FRAGMENT = 1_000_000
+FRAGMENT = 500_000
+#: N-grams sampled a fragment, how often one of them must be seen to count as hot, and how many are at most.
+HOT_SAMPLE, HOT_SEEN, HOT_MOST = 64, 16, 100_000
 #: Fragments of the verification, by the top bits of the hash.
 CHECK_BITS = 2
 _KEY = np.uint64(0xA0761D6478BD642F)
@@ -56,46 +60,74 @@ def document_classes(docs: DataFrame, k: int = 5) -> DataFrame:
                 marks.append(fingerprint(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64())], ["doc_id", "n_shingles", "cls"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls long")
 
 
-def _fragments(docs: DataFrame, k: int, count: int) -> DataFrame:
-    """(fragment, cls, n, tok): the pieces of a batch's sets in one fragment, as packed arrays."""
+def _bucket(cls: np.ndarray, buckets: int) -> np.ndarray:
+    return (cls.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
+def hot_ngrams(docs: DataFrame, k: int, count: int, total: int) -> np.ndarray:
+    """Sorted hashes of n-grams that a sample of texts finds to fill about a quarter of a fragment or more."""
+    u = F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    def run(it):
+        seen: set[int] = set()
+        for b in _batches(it):
+            for _, w in word_hashes([lower_ascii(t) for t in b.column(0).to_pylist()]):
+                s = shingle_set(w, k)
+                if len(s) and (mark := fingerprint(s)) not in seen:
+                    seen.add(mark)
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["tok"])
+
+    some = docs.select("text").filter(u < min(1.0, HOT_SAMPLE * count / max(1, total))).mapInArrow(tidy(run), "tok long")
+    most = some.groupBy("tok").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_SEEN).orderBy(F.desc("n"), "tok").limit(HOT_MOST)
+    return np.sort(np.array([r["tok"] for r in most.collect()], np.int64).view(np.uint64))
+
+
+def _fragments(docs: DataFrame, k: int, count: int, hot: np.ndarray) -> DataFrame:
+    """(fragment, cls, n, tok): the pieces of a batch's sets in one fragment, as packed arrays.
+
+    Fragments from `count` on hold the hot n-grams, one for each bucket of classes.
+    """
     width = (1 << 64) // count + 1
 
     def run(it):
+        seen: set[int] = set()  # classes that this task has sent
         for b in _batches(it):
-            toks, marks, sizes = [], [], []
+            toks, marks = [], []
             for _, w in word_hashes([lower_ascii(t) for t in b.column(0).to_pylist()]):
                 s = shingle_set(w, k)
-                if len(s):
+                if len(s) and (mark := fingerprint(s)) not in seen:
+                    seen.add(mark)
                     toks.append(s)
-                    marks.append(fingerprint(s))
-                    sizes.append(len(s))
+                    marks.append(mark)
             if not toks:
                 continue
-            tok, size = np.concatenate(toks), np.array(sizes)
-            frag = (tok // np.uint64(width)).astype(np.uint16 if count < 65536 else np.uint32)
-            doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+            tok, marks = np.concatenate(toks), np.array(marks, np.int64)
+            frag = (tok // np.uint64(width)).astype(np.uint32)
+            doc = np.repeat(np.arange(len(marks), dtype=np.int32), [len(s) for s in toks])
+            if len(hot):
+                is_hot = hot[np.minimum(np.searchsorted(hot, tok), len(hot) - 1)] == tok
+                frag[is_hot] = count + _bucket(marks, count)[doc[is_hot]]
             order = np.argsort(frag, kind="stable")
             tok, doc, frag = tok[order], doc[order], frag[order]
-            cut = np.searchsorted(frag, np.arange(count + 1))
-            marks = np.array(marks, np.int64)
-            rows = [f for f in range(count) if cut[f] < cut[f + 1]]
+            rows, cut = np.unique(frag, return_index=True)
+            cut = np.append(cut, len(frag))
             out: list[list] = [[], [], []]
-            for f in rows:
-                d = doc[cut[f] : cut[f + 1]]
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                d = doc[i:j]
                 begin = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
                 out[0].append(marks[d[begin]].tobytes())
                 out[1].append(np.diff(np.append(begin, len(d))).astype(np.uint32).tobytes())
-                out[2].append(tok[cut[f] : cut[f + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(x, pa.binary()) for x in out)], ["fragment", "cls", "n", "tok"])
+                out[2].append(tok[i:j].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int64)), *(pa.array(x, pa.binary()) for x in out)], ["fragment", "cls", "n", "tok"])
 
-    return docs.select("text").mapInArrow(run, "fragment int, cls binary, n binary, tok binary")
+    return docs.select("text").mapInArrow(tidy(run), "fragment long, cls binary, n binary, tok binary")
 
 
 def _count_fragment(buckets: int):
-    def run(t: pa.Table) -> pa.Table:
+    def run(key: tuple, t: pa.Table) -> pa.Table:
         cls = np.frombuffer(b"".join(t.column("cls").to_pylist()), np.int64)
         n = np.frombuffer(b"".join(t.column("n").to_pylist()), np.uint32)
         tok = np.frombuffer(b"".join(t.column("tok").to_pylist()), np.uint64)
@@ -109,15 +141,17 @@ def _count_fragment(buckets: int):
         first[1:] = tok[1:] != tok[:-1]
         begin = np.flatnonzero(first)
         df = np.repeat(np.diff(np.append(begin, len(tok))), np.diff(np.append(begin, len(tok)))).astype(np.uint32)
+        if key[0].as_py() >= buckets:  # hot n-grams: last in the order, and shared
+            df[:] = np.iinfo(np.uint32).max
         shared = df >= 2
         cls, tok, df = cls[shared], tok[shared], df[shared]
-        bucket = ((cls.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets < 65536 else np.uint32)
+        bucket = _bucket(cls, buckets).astype(np.uint32)
         order = np.argsort(bucket, kind="stable")
         cls, tok, df, bucket = cls[order], tok[order], df[order], bucket[order]
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = [x for x in range(buckets) if cut[x] < cut[x + 1]]
-        packed = [[a[cut[x] : cut[x + 1]].tobytes() for x in rows] for a in (cls, tok, df)]
-        return pa.table({"bucket": pa.array(rows, pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in zip(("cls", "tok", "df"), packed, strict=True)}})
+        rows, cut = np.unique(bucket, return_index=True)
+        cut = np.append(cut, len(bucket))
+        packed = [[a[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for a in (cls, tok, df)]
+        return pa.table({"bucket": pa.array(rows.astype(np.int32)), **{k: pa.array(v, pa.binary()) for k, v in zip(("cls", "tok", "df"), packed, strict=True)}})
 
     return run
 
@@ -166,7 +200,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int = 5, percent: int
     spark = docs.sparkSession
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     count = max(64, partitions(spark), -(-total // FRAGMENT))
-    counted = _fragments(docs, k, count).groupBy("fragment").applyInArrow(_count_fragment(count), "bucket int, cls binary, tok binary, df binary")
+    hot = hot_ngrams(docs, k, count, total)
+    counted = _fragments(docs, k, count, hot).groupBy("fragment").applyInArrow(_count_fragment(count), "bucket int, cls binary, tok binary, df binary")
     sized = classes.withColumn("bucket", F.shiftright(F.shiftrightunsigned("cls", 32) * count, 32).cast("int"))
     found = counted.groupBy("bucket").cogroup(sized.groupBy("bucket")).applyInArrow(_survivors(percent), "cls long, n long, toks array<long>, prefix int")
     sets = staged(found, "sets")
@@ -176,8 +211,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int = 5, percent: int
     pieces = staged(pieces, "pieces")
     lists = sets.select("cls", "n", F.size("toks").alias("s"), F.posexplode(F.slice("toks", 1, F.col("prefix"))).alias("i", "tok"))
     lists = staged(lists.select("cls", "n", "tok", (F.col("s") - F.col("i")).alias("rest")), "lists")  # rest: shared n-grams from this one on
-    no_labels = spark.createDataFrame([], "node long, label long")
-    labels, edges = no_labels, None
+    labels, edges, parts = spark.createDataFrame([], "node long, label long"), None, []
     # at the first n-gram of its prefix that a linked pair shares, what both have left must hold their whole overlap
     near = ((100 + percent) * F.least("r_a", "r_b") >= percent * (F.col("n_a") + F.col("n_b"))) & (F.col("a") != F.col("b"))
     for r in range(rounds + 1):
@@ -194,12 +228,17 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int = 5, percent: int
             some = staged(rest.join(most, "tok").filter("label <> most").select("tok", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("r_a"), F.col("label").alias("l_a")), "some")
             every = rest.select("tok", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("r_b"), F.col("label").alias("l_b"))
             pairs = some.join(every, (some["tok"] == every["tok"]) & (F.col("l_a") != F.col("l_b")) & near).select("a", "b", "n_a", "n_b", "r_a", "r_b")
-        pairs = pairs.filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = staged(_verified(staged(pairs, "pairs"), pieces, sizes, percent), "links")
+        pairs = staged(pairs.filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        new = staged(_verified(pairs, pieces, sizes, percent), "links")
+        parts.append(new)
+        discard(named, open_, pairs, *((rest, most, some) if r == rounds else ()))
         if edges is not None and new.isEmpty():
             break
+        if edges is not None:
+            discard(labels)
         edges = new if edges is None else new.unionByName(edges)
         labels = connected_components(edges)
+    discard(sets, pieces, lists, *parts)
     return labels
 
 
@@ -210,7 +249,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sequence as its one shingle; one without words (null or empty text) has an empty set and links with nothing.
     component_id is the least doc_id reachable by links. Copies (equal sets) are one class, and component ids come
     from class representatives plus membership. Sets are compared by 64-bit hashes. A null doc_id takes part, but is
-    never a component's least id; a component of null ids only has a null id. An empty table gives an empty result.
+    never a component's least id; a component of null ids only has a null id. Whole texts are read, a long one in
+    slices. Repeated rows are each answered alike. Columns besides doc_id and text are ignored, whatever their names.
+    An empty table gives an empty result.
     """
     narrow = staged(document_classes(docs, k), "narrow")
     grouped = narrow.filter("cls is not null").groupBy("cls").agg(F.max("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
@@ -220,5 +261,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     joined = staged(joined, "joined")
     firsts = joined.groupBy("label").agg(F.min("least").alias("component"))
     of = staged(joined.join(firsts, "label").select("cls", "component"), "members")
+    discard(classes, joined, labels)
     out = narrow.join(of, "cls", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

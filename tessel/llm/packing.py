@@ -7,19 +7,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessel.llm._common import staged
+from tessel.llm._common import model, staged, tidy
 
 LIMIT, END = 4096, 1
-#: Tokens that one group should hold on average; groups are packed apart, each in one task.
-GROUP_TOKENS = 1_500_000
+#: Pieces of one length that are ranked in one task on average; a length of more is ranked in several cells.
+CELL_ROWS = 100_000
 #: Parts of words remembered by a worker before that memory is emptied.
-CACHE_PARTS = 600_000
+CACHE_PARTS = 250_000
 #: Bytes of text that are tokenized at once.
 SLICE = 4 << 20
 #: Texts with other characters go to the tokenizer whole: its Unicode rules are then decisive.
@@ -95,9 +95,6 @@ class CachedTokenizer:
         return [next(known) if p else next(odd) for p in plain]
 
 
-_TOKENIZERS: dict[str, CachedTokenizer] = {}
-
-
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """batch in runs of rows of about SLICE bytes of text each; a longer text is a run of its own."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -112,7 +109,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) ->
     path = tokenizer or default_tokenizer()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _TOKENIZERS.setdefault(path, None) or _TOKENIZERS.update({path: CachedTokenizer(path)}) or _TOKENIZERS[path]
+        tok = model(("tokenizer", path), lambda: CachedTokenizer(path))
         end = np.array([END], "<u4").tobytes()
         for whole in it:
             for batch in _slices(whole):
@@ -127,77 +124,106 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out[0], pa.int32()), *(pa.array(c, pa.int64()) for c in out[1:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_two_fit(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each length; lengths lie in 1..limit and equal ones are taken in order.
+def two_fit_pattern(left: np.ndarray, limit: int = LIMIT) -> tuple[list[int], int]:
+    """(lengths of the next bin in order, bins that can be filled so one after another).
 
-    A bin takes the longest document left that fits, again and again. Then its smallest document is put back if two
-    others fit the gap that it leaves more tightly. Lengths are bounded, so a count per length is all the state.
+    left counts the lengths not yet packed. The bin takes the longest length left that fits, again and again. Then its
+    smallest one is put back if two others fit the gap that it leaves more tightly. The choice depends only on which
+    lengths are left, so the same bin follows until one of the lengths that it looked at and needs runs short.
     """
-    by = np.argsort(lengths, kind="stable")
-    start = np.searchsorted(lengths[by], np.arange(limit + 2))
-    left = np.diff(start).astype(np.int64)
     index = np.arange(limit + 1)
-    taken = np.zeros(limit + 1, np.int64)
-    bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    remaining, b = len(lengths), 0
+    left = left.copy()
+    have = left.copy()
     fits = np.maximum.accumulate(np.where(left > 0, index, 0))  # the longest length left up to each gap
-    while remaining:
-        held: list[int] = []
-        gap = limit
-        while gap and (x := int(fits[gap])):
-            held.append(x)
-            left[x] -= 1
-            gap -= x
-            if not left[x]:
-                fits[x:] = np.where(fits[x:] == x, fits[x - 1], fits[x:])
-        if gap and len(held) > 1:
-            small = held[-1]
-            wide = gap + small
-            a = index[1 : wide + 1]
-            other = np.minimum(a, wide - a)
-            second = fits[other]
-            alone = (second == a) & (left[a] < 2)
-            second = np.where(alone, fits[np.maximum(other - 1, 0)], second)
-            total = np.where((left[a] > 0) & (second > 0), a + second, 0)
-            at = int(total.argmax())
-            if total[at] > small:
-                held[-1:] = [int(a[at]), int(second[at])]
-                for x in held[-2:]:
-                    left[x] -= 1
-                left[small] += 1
-                fits = np.maximum.accumulate(np.where(left > 0, index, 0))
-        offset = 0
-        for x in held:
-            doc = by[start[x] + taken[x]]
-            taken[x] += 1
-            bins[doc], offsets[doc] = b, offset
-            offset += x
-        remaining -= len(held)
-        b += 1
-    return bins, offsets
+    held: list[int] = []
+    gap = limit
+    while gap and (x := int(fits[gap])):
+        times = int(min(left[x], gap // x))
+        held += [x] * times
+        left[x] -= times
+        gap -= x * times
+        if not left[x]:
+            fits[x:] = np.where(fits[x:] == x, fits[x - 1], fits[x:])
+    need = have - left
+    if gap and len(held) > 1:
+        small = held[-1]
+        wide = gap + small
+        a = index[1 : wide + 1]
+        other = np.minimum(a, wide - a)
+        second = fits[other]
+        alone = (second == a) & (left[a] < 2)
+        second = np.where(alone, fits[np.maximum(other - 1, 0)], second)
+        total = np.where((left[a] > 0) & (second > 0), a + second, 0)
+        at = int(total.argmax())
+        if total[at] > small:
+            held[-1:] = [int(a[at]), int(second[at])]
+            need = np.maximum(need, np.bincount(held, minlength=limit + 1))
+    asked = np.flatnonzero(need)
+    return held, max(1, int((have[asked] // need[asked]).min()))
+
+
+def best_two_fit(counts: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, int]:
+    """(slots, bins) from the number of pieces of each length 0..limit; the work depends on the lengths, not on the pieces.
+
+    A slot is a row (length, first, taken, run, bin, offset): the pieces of that length with rank first .. first + taken
+    - 1 lie in bins from `bin` on, `run` of them in each, from `offset` on. Slots are sorted by length and first.
+    """
+    left, done, slots, bins = counts.astype(np.int64).copy(), np.zeros(limit + 1, np.int64), [], 0
+    left[0] = 0
+    while left.any():
+        held, times = two_fit_pattern(left, limit)
+        offset, i = 0, 0
+        while i < len(held):
+            x = held[i]
+            run = next((j for j in range(i, len(held)) if held[j] != x), len(held)) - i
+            slots.append((x, int(done[x]), run * times, run, bins, offset))
+            done[x] += run * times
+            left[x] -= run * times
+            offset += x * run
+            i += run
+        bins += times
+    out = np.array(slots, np.int64).reshape(-1, 6)
+    return out[np.lexsort((out[:, 1], out[:, 0]))], bins
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
     """pieces() with sequence_id and offset, packed into sequences of at most `limit` tokens.
 
-    Pieces fall into groups by a hash, about GROUP_TOKENS each, which are packed independently: one partly filled
-    sequence a group is the price. Null text is empty: the end id alone. Rows that repeat a document are packed as
-    often as they occur. An empty table gives an empty result; input columns besides doc_id and text are ignored.
+    Only the number of pieces of each length decides the bins, so the packing is global: one row a length, `limit` at
+    most, reaches the driver and a table of slots of like size goes to the tasks. Pieces of a length are ranked by their
+    place in the staged files, in cells of about CELL_ROWS whatever their ids, so neither a common length nor repeated
+    rows meet in one task. Null text is empty: the end id alone. A very long text is tokenized whole by one task and cut.
+    Rows that repeat a document are packed as often as they occur, pieces of equal length in the order of the files. An
+    empty table gives an empty result; input columns besides doc_id and text are ignored, whatever their names.
     """
     cut = staged(pieces(docs, tokenizer, limit), "pieces")
-    total = cut.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, round(total / GROUP_TOKENS))
-    cut = cut.withColumn("group_", F.pmod(F.xxhash64(F.lit(10), "doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    counts, n = np.zeros(limit + 1, np.int64), 0
+    for r in cut.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+        n += r["count"]
+    slots, _ = best_two_fit(counts, limit)
+    at = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    placed = cut.withColumn("at_", at).withColumn("cell_", F.pmod(F.xxhash64("at_"), F.lit(max(1, n // CELL_ROWS))))
+    sizes = staged(placed.groupBy("length", "cell_").agg(F.count("*").alias("n_")), "cells")
+    before = F.sum("n_").over(Window.partitionBy("length").orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("length", "cell_", F.coalesce(before, F.lit(0)).alias("before_"))
+    inside = F.row_number().over(Window.partitionBy("length", "cell_").orderBy("at_")) - 1
+    ranked = placed.withColumn("inside_", inside).join(sizes, ["length", "cell_"])
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before_") + F.col("inside_")).alias("rank"))
+    most = int(counts.max()) + 1
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
-        bins, offsets = best_two_fit(part["length"].to_numpy(), limit)
-        part["sequence_id"] = (np.int64(part["group_"].iloc[0]) << 32) + bins
-        part["offset"] = offsets
-        return part.drop(columns="group_")
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = slots[:, 0] * most + slots[:, 1]
+        for b in it:
+            length, rank = b.column(3).to_numpy(), b.column(5).to_numpy()
+            s = slots[np.searchsorted(key, length * most + rank, side="right") - 1]
+            place = rank - s[:, 1]
+            sequence = s[:, 4] + place // s[:, 3]
+            offset = s[:, 5] + length * (place % s[:, 3])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kind = cut.schema["doc_id"].dataType.simpleString()
-    return cut.groupBy("group_").applyInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

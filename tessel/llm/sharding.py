@@ -10,36 +10,46 @@ from tessel.llm._common import staged
 
 #: Fixed cost of a record besides its text, in bytes.
 OVERHEAD = 16
-_MASK = 0xFFFFFFFF
+#: The number that thirteen hexadecimal digits can't reach.
+_SPAN = 16**13
 
 
 def size_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(OVERHEAD).cast("long")
 
 
+def _digits(value: Column, n: int) -> Column:
+    """The first n hexadecimal digits of the MD5 of value, as a number."""
+    return F.conv(F.substring(F.md5(value), 1, n), 16, 10).cast("long")
+
+
+def _name(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.lit("-"))
+
+
 def range_key(doc_id: Column, text: Column) -> Column:
-    """Equal texts share the upper 32 bits, so copies lie side by side; doc_id spreads them below."""
-    return F.xxhash64(text).bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.xxhash64(F.lit(7), doc_id).bitwiseAND(F.lit(_MASK)))
+    """32 bits of the text, then 31 of doc_id: copies lie side by side, and doc_id spreads them below."""
+    return _digits(F.coalesce(text, F.lit("")), 8) * F.lit(1 << 31) + _digits(_name(doc_id), 8) % F.lit(1 << 31)
 
 
 def splitters(keyed: DataFrame, ranges: int, per_range: int = 24, seed: int = 4) -> list[int]:
     """At most ranges - 1 boundaries: quantiles of a size-weighted sample of keys.
 
-    A row enters the sample with the expected number ranges * per_range * size / total (deterministic: a hash of the
-    key decides the fraction), so the sample is bounded whatever the table's size, and only quantiles reach the driver.
+    A row enters the sample with the expected number ranges * per_range * size / total (deterministic: a hash of key and
+    doc_id decides the fraction), so the sample is bounded whatever the table's size, and only quantiles reach the driver.
     """
     total = keyed.agg(F.sum("size")).first()[0]
     if not total:
         return []
     wanted = F.col("size") * F.lit(ranges * per_range / total)
-    u = F.pmod(F.xxhash64(F.lit(seed), "key", "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u = _digits(F.concat(F.lit(f"{seed}:"), F.col("key").cast("string"), F.lit(":"), _name(F.col("doc_id"))), 13) / F.lit(float(_SPAN))
     times = F.least(F.floor(wanted) + F.when(u < wanted - F.floor(wanted), 1).otherwise(0), F.lit(ranges * per_range))
     sample = keyed.select("key", times.cast("int").alias("times")).filter("times > 0")
     sample = sample.select(F.explode(F.array_repeat("key", F.col("times"))).alias("key"))
     got = sample.agg(F.sort_array(F.collect_list("key")).alias("k")).select(
         F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.element_at("k", F.greatest(F.lit(1), (i * F.size("k") / ranges).cast("int"))))).alias("s")
     )
-    return [x for x in got.first()[0] if x is not None]
+    return sorted(x for x in got.first()[0] if x is not None)
 
 
 def _bucket(key: Column, cuts: list[int]) -> Column:
@@ -64,7 +74,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, ranges: int | None = None,
     one global order, and the shard is the place's share of all bytes: shards differ by at most about one record.
     Slots count 0, 1, ... inside a shard. Equal texts are neighbours in that order unless their range is subdivided.
     Null text has size 16; its checksum is that of no bytes. Null doc_ids are allowed; wholly equal rows are
-    interchangeable. An empty table gives an empty result. More shards than rows leave shards empty.
+    interchangeable. A very long text is one record of one shard. Columns besides doc_id and text are ignored, whatever
+    their names. An empty table gives an empty result. More shards than rows leave shards empty.
     """
     keyed = docs.select(
         "doc_id",
@@ -82,7 +93,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, ranges: int | None = None,
     sub = F.lit(0)
     if parts:
         fan = F.create_map(*(F.lit(x) for kv in parts.items() for x in kv))
-        sub = F.coalesce(F.pmod(F.xxhash64(F.lit(11), "doc_id", "key"), F.try_element_at(fan, F.col("range"))), F.lit(0)).cast("int")
+        own = _digits(F.concat(F.lit("11:"), F.col("key").cast("string"), F.lit(":"), _name(F.col("doc_id"))), 13)
+        sub = F.coalesce(own % F.try_element_at(fan, F.col("range")), F.lit(0)).cast("int")
     placed = placed.withColumn("sub", sub)
     cells = staged(placed.groupBy("range", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "cells")
     order = Window.orderBy("range", "sub").rowsBetween(Window.unboundedPreceding, -1)
@@ -95,8 +107,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, ranges: int | None = None,
     inside = Window.partitionBy("range", "sub").orderBy("key", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     done = placed.withColumns({"run": F.sum("size").over(inside), "nth": F.count("*").over(inside)}).join(F.broadcast(cells), ["range", "sub"])
     middle = 2 * (F.col("bytes_before") + F.col("run")) - F.col("size")
-    shard = F.least(F.lit(shards - 1), F.floor(middle.cast("decimal(28,0)") * shards / (2 * F.col("total"))).cast("int"))
-    done = staged(done.select("doc_id", "size", "text_crc32", shard.alias("shard"), (F.col("rows_before") + F.col("nth") - 1).alias("place")), "placed")
+    whole = done.withColumn("middle", middle * shards).withColumn("double", 2 * F.col("total"))
+    shard = F.least(F.lit(shards - 1), F.expr("middle div double").cast("int"))
+    done = staged(whole.select("doc_id", "size", "text_crc32", shard.alias("shard"), (F.col("rows_before") + F.col("nth") - 1).alias("place")), "placed")
     firsts = done.groupBy("shard").agg(F.min("place").alias("first"))
     return done.join(F.broadcast(firsts), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")

@@ -14,12 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm._common import partitions, shared_dir, small, staged
+from tessel.llm._common import discard, partitions, remove, shared_dir, small, small_batches, staged, tidy
 
 #: Compressed bytes at which a file is rolled, and payload bytes that a shard should hold on average.
 ROLL_BYTES, SHARD_BYTES = 64 << 20, 256 << 20
 #: Ids sampled a shard for the range boundaries.
 SAMPLE = 40
+#: Date of all records: pages carry none, and reruns must agree.
+DATE = "2024-01-01T00:00:00Z"
 
 
 def digest32(hexed: str) -> str:
@@ -50,31 +52,52 @@ def _header(fields: list[tuple[str, str]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode("utf-8", "replace")
 
 
-def record(page_id, url: str | None, payload: bytes, sha1: str, refers_to, refers_url: str | None) -> bytes:
-    """One gzip member with a WARC record, all headers made from its arguments alone, so that reruns agree byte by byte."""
+def _uri(url: str | None) -> str:
+    return (url or "urn:none").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record_id(page_id, url: str | None, sha1: str, nth: int = 0) -> str:
+    """Name of a record, from its content alone; nth tells rows apart that repeat."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}:{sha1}' + (f':{nth}' if nth else ''))}>"
+
+
+def _member(fields: list[tuple[str, str]], block: bytes) -> bytes:
+    """One gzip member with a record; headers that only depend on the block are added."""
+    fields = [*fields, ("WARC-Block-Digest", f"sha1:{digest32(hashlib.sha1(block).hexdigest())}"), ("Content-Length", str(len(block)))]
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(_header(fields) + block + b"\r\n\r\n") + z.flush()
+
+
+def info_record(name: str) -> bytes:
+    """The warcinfo record that opens file `name`."""
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'file:{name}')}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+    return _member(fields, b"software: tessel\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(page_id, url: str | None, payload: bytes, sha1: str, first, first_url: str | None, nth: int = 0) -> bytes:
+    """One gzip member with a response, or a revisit of page `first`; all made from the arguments, so that reruns agree byte by byte."""
     digest = f"sha1:{digest32(sha1)}"
-    revisit = refers_to is not None
+    revisit = first is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http + (b"" if revisit else payload)
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{url}:{digest}")
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:uuid:{name}>"),
-        ("WARC-Date", "2024-01-01T00:00:00Z"),
-        ("WARC-Target-URI", (url or "urn:none").replace("\r", "%0D").replace("\n", "%0A")),
+        ("WARC-Record-ID", record_id(page_id, url, sha1, nth)),
+        ("WARC-Date", DATE),
+        ("WARC-Target-URI", _uri(url)),
         ("WARC-Page-ID", "" if page_id is None else str(page_id)),
         ("WARC-Payload-Digest", digest),
-        ("WARC-Block-Digest", f"sha1:{digest32(hashlib.sha1(block).hexdigest())}"),
         ("WARC-Payload-Length", str(len(payload))),
         ("Content-Type", "application/http; msgtype=response"),
     ]
     if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Page-ID", str(refers_to))]
-        if refers_url:
-            fields.append(("WARC-Refers-To-Target-URI", refers_url.replace("\r", "%0D").replace("\n", "%0A")))
-    fields.append(("Content-Length", str(len(block))))
-    z = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return z.compress(_header(fields) + block + b"\r\n\r\n") + z.flush()
+        fields += [
+            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+            ("WARC-Refers-To", record_id(first, first_url, sha1)),
+            ("WARC-Refers-To-Target-URI", _uri(first_url)),
+            ("WARC-Refers-To-Date", DATE),
+            ("WARC-Refers-To-Page-ID", str(first)),
+        ]
+    return _member(fields, http + (b"" if revisit else payload))
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -90,34 +113,36 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, sha1, bytes, first): first is the least page_id with that payload, where another page has it too.
-
-    Payloads of fewer than least_bytes bytes are not compared. Groups are counted by digest with minima only.
-    """
+def digests(pages: DataFrame) -> DataFrame:
+    """(page_id, url, sha1, bytes) of every page's payload."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    narrow = staged(pages.select("page_id", "url", F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("bytes")), "digests")
-    groups = narrow.filter(F.col("bytes") >= least_bytes).groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return narrow.join(small(staged(groups.drop("n"), "groups")), ["sha1", "bytes"], "left")
+    return pages.select("page_id", "url", F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("bytes"))
 
 
 def write(pages: DataFrame, root: str, least_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shards: int | None = None) -> DataFrame:
     """Writes a record per page under root and returns the committed manifest: shard, seq, file, records, bytes, sha1.
 
-    Records are sorted by page_id in shards whose boundaries come from a deterministic sample, and a shard's files are
-    rolled by compressed size. A file is written under a temporary name and then renamed; as its bytes depend only on
-    its records, a task that is run again replaces it by the same file. The manifest is written last by Spark's
-    committer: files that it doesn't name don't count.
+    Records are sorted by page_id in shards whose boundaries come from a deterministic sample; each shard is a task of
+    its own, and its files are rolled by compressed size. A file opens with a warcinfo record, which `records` does not
+    count. Of pages with equal payloads of least_bytes or more the least page_id is the response; the others refer to
+    its record. A file is written under a temporary name and then renamed; as its bytes depend only on its records, a
+    task that is run again replaces it by the same file. The manifest is written last by Spark's committer: files that
+    it doesn't name don't count. Rows that repeat are records of their own; pages without an id are dealt by a hash.
+    A page's html is held whole by one task, longer files are streamed. Columns besides page_id, url and html are
+    ignored, whatever their names.
     """
     spark = pages.sparkSession
-    plan = plan_records(pages, least_bytes)
+    narrow = staged(digests(pages), "digests")
+    groups = narrow.filter(F.col("bytes") >= least_bytes).groupBy("sha1", "bytes")
+    groups = groups.agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    groups = small(staged(groups.select("sha1", "bytes", F.col("f.page_id").alias("first"), F.col("f.url").alias("first_url")), "groups"))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", F.col("html"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("bytes"))
-    groups = small(staged(plan.filter("first is not null").select("sha1", "bytes", "first").distinct(), "firsts"))
+    rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("bytes"))
     rows = rows.join(groups, ["sha1", "bytes"], "left")
-    total = plan.agg(F.sum("bytes")).first()[0] or 0
+    total = narrow.agg(F.sum("bytes")).first()[0] or 0
     shards = shards or max(4 * partitions(spark), -(-total // SHARD_BYTES))
-    cuts = boundaries(plan.select("page_id"), shards)
+    cuts = boundaries(narrow.select("page_id"), shards)
+    discard(narrow)
     step = max(1, int(len(cuts) ** 0.5))
     groups_of = [cuts[i : i + step] for i in range(0, len(cuts), step)]
     shard = F.pmod(F.xxhash64("sha1", "url"), F.lit(shards)).cast("int")  # pages without an id
@@ -125,17 +150,16 @@ def write(pages: DataFrame, root: str, least_bytes: int = 0, roll_bytes: int = R
         head = F.size(F.filter(F.array(*(F.lit(g[0]) for g in groups_of)), lambda s: s <= F.col("page_id")))
         inner = F.size(F.filter(F.element_at(F.array(*(F.array(*map(F.lit, g)) for g in groups_of)), head), lambda s: s <= F.col("page_id")))
         shard = F.when(F.col("page_id").isNull(), shard).when(head == 0, 0).otherwise((head - 1) * step + inner)
-    rows = rows.withColumn("shard", shard).repartition(partitions(spark), "shard").sortWithinPartitions("shard", "page_id", "url", "sha1")
+    rows = rows.withColumn("shard", shard.cast("int")).repartitionById(int(shards), F.col("shard")).sortWithinPartitions("shard", "page_id", "url", "sha1")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = _fs(root)
         fs.create_dir(f"{base}/data", recursive=True)
         now, seq, out, size, records, sha = None, 0, None, 0, 0, None
-        temp = ""
+        temp, name, same, nth = "", "", None, 0
 
         def close() -> pd.DataFrame:
             out.close()
-            name = f"part-{now:06d}-{seq:05d}.warc.gz"
             fs.move(temp, f"{base}/data/{name}")
             return pd.DataFrame([(now, seq, name, records, size, sha.hexdigest())], columns=["shard", "seq", "file", "records", "bytes", "sha1"])
 
@@ -146,12 +170,16 @@ def write(pages: DataFrame, root: str, least_bytes: int = 0, roll_bytes: int = R
                     seq, out = (seq + 1 if r.shard == now else 0), None
                 if not out:
                     seq = seq if r.shard == now else 0
-                    now, size, records, sha = r.shard, 0, 0, hashlib.sha1()
-                    temp = f"{base}/data/_temporary-{uuid.uuid4().hex}"
-                    out = fs.open_output_stream(temp)
+                    now, records = r.shard, 0
+                    name, temp = f"part-{now:06d}-{seq:05d}.warc.gz", f"{base}/data/_temporary-{uuid.uuid4().hex}"
+                    out, data = fs.open_output_stream(temp), info_record(f"part-{now:06d}-{seq:05d}.warc.gz")
+                    sha, size = hashlib.sha1(data), len(data)
+                    out.write(data)
                 first = None if r.first is None else int(r.first)
                 page = None if r.page_id is None else int(r.page_id)
-                data = record(page, r.url, (r.html or "").encode("utf-8", "replace"), r.sha1, first if first is not None and first != page else None, None)
+                key = page, r.url, r.sha1
+                same, nth = key, nth + 1 if key == same else 0
+                data = record(page, r.url, (r.html or "").encode("utf-8", "replace"), r.sha1, first if first != page else None, r.first_url, nth)
                 out.write(data)
                 sha.update(data)
                 size += len(data)
@@ -160,7 +188,8 @@ def write(pages: DataFrame, root: str, least_bytes: int = 0, roll_bytes: int = R
             yield close()
 
     text = [F.col(c).cast("string").alias(c) for c in ("page_id", "first")]  # pandas would turn null longs into doubles
-    written = rows.select("shard", "url", "html", "sha1", *text).mapInPandas(run, "shard int, seq int, file string, records long, bytes long, sha1 string")
+    small_batches(spark)
+    written = rows.select("shard", "url", "html", "sha1", "first_url", *text).mapInPandas(tidy(run), "shard int, seq int, file string, records long, bytes long, sha1 string")
     written.write.mode("overwrite").parquet(f"{root}/manifest")
     return spark.read.schema(written.schema).parquet(f"{root}/manifest")
 
@@ -180,6 +209,8 @@ def read(manifest: DataFrame, root: str) -> DataFrame:
                 with fs.open_input_stream(f"{base}/data/{name}", compression=None) as f:
                     for raw in _members(f):
                         h, block = parse(raw)
+                        if h["WARC-Type"] == "warcinfo":
+                            continue
                         digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                         size = int(h["WARC-Payload-Length"])
                         if h["WARC-Type"] == "response":
@@ -195,7 +226,7 @@ def read(manifest: DataFrame, root: str) -> DataFrame:
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     spread = manifest.select("file", "records").repartition(2 * partitions(manifest.sparkSession), "file")
-    return spread.mapInPandas(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return spread.mapInPandas(tidy(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def _members(f: io.IOBase, chunk: int = 1 << 20) -> Iterator[bytes]:
@@ -214,11 +245,17 @@ def _members(f: io.IOBase, chunk: int = 1 << 20) -> Iterator[bytes]:
 
 
 def round_trip(pages: DataFrame, root: str | None = None) -> DataFrame:
-    """Writes pages as WARC files under root (a fresh shared folder) and reads the archives back; one row per page.
+    """Writes pages as WARC files and reads the archives back; one row per page.
 
-    Null html is an empty payload. Of pages with equal payloads the least page_id is the response and the others
-    revisit it. A null page_id is kept; one that shares its payload with a numbered page revisits it. An empty table
-    gives an empty result.
+    Archives stay under root if it is given. Else they are written to a fresh shared folder, which is deleted once its
+    rows are read. Null html is an empty payload. Of pages with equal payloads the least page_id is the response and the
+    others revisit it. A null page_id is kept; one that shares its payload with a numbered page revisits it. An empty
+    table gives an empty result.
     """
-    root = root or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return read(write(pages, root), root)
+    if root:
+        return read(write(pages, root), root)
+    spark = pages.sparkSession
+    root = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    out = staged(read(write(pages, root), root), "warc")
+    remove(spark, root)
+    return out
