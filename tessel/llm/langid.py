@@ -18,6 +18,8 @@ from tessel.llm._common import model, small_batches, tidy
 FIT_CHARS, FIT_ROW_CHARS, FIT_ROWS = 24_000, 600, 80
 #: Symbols of a piece, and pieces that are parsed side by side. Phrases run on over the edges of pieces.
 PIECE, PIECES = 512, 2048
+#: Rows below which pieces are parsed one by one where parses don't agree yet.
+FEW = 16
 UNKNOWN = "und"
 #: Symbols that a phrase holds on average at least in a text that is of a known language at all.
 LEAST_PHRASE = 1.5
@@ -109,6 +111,20 @@ class _Automaton:
         return np.where(self.key[at] == key, self.to[at], self.start[symbol])
 
 
+    def walk(self, state: int, symbols: list[int], known: list[int]) -> tuple[list[int], list[bool]]:
+        """(states, phrase ends) after each symbol, up to the first at which the known parse is met."""
+        table, width, mask = memoryview(self.table) if self.table is not None else None, self.width, int(self.ENDS) - 1
+        found, marks = [], []
+        for c, k in zip(symbols, known, strict=True):
+            nxt = table[state * width + c] if table is not None else int(self.next(np.array([state]), np.array([c]))[0])
+            state = nxt & mask
+            found.append(state)
+            marks.append(nxt > mask)
+            if state == k:
+                break
+        return found, marks
+
+
 class Parser:
     """Automata of all languages over one alphabet."""
 
@@ -156,7 +172,7 @@ class Parser:
                 for j in range(width):
                     on = lengths[due] > j
                     due, at = due[on], at[on]
-                    if not len(due):
+                    if len(due) < FEW:
                         break
                     nxt = automaton.next(at, automaton.local[columns[j, due]])
                     ends[j, due] = nxt >> 30
@@ -166,6 +182,12 @@ class Parser:
                     done = lengths[due] == j + 1
                     state[due[done]] = at[done]
                     due, at = due[apart], at[apart]
+                for row, now in zip(due.tolist(), at.tolist(), strict=True):  # one by one: such texts may never agree
+                    stop = int(lengths[row])
+                    found, marks = automaton.walk(now, automaton.local[columns[j:stop, row]].tolist(), states[j:stop, row].tolist())
+                    states[j : j + len(found), row] = found
+                    ends[j : j + len(found), row] = marks
+                    state[row] = states[stop - 1, row]
             ended[k], last[k] = ends.sum(axis=0), state
         return ended, last
 
