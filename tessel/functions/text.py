@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,16 +116,31 @@ def bigrams(tokens: Column, least: int = 3) -> Column:
     return F.filter(pairs, lambda p: p.isNotNull())
 
 
-def analyze(docs: DataFrame, analyzer: str = "stem", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, pos, term): positions are over the tokens left after the stop words.
+def analyzed_tokens(tokens: pa.Array, stemming: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(number of each token's term, tokens a row, terms) of a batch of token lists; a distinct word is stemmed once."""
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = tokens.flatten().dictionary_encode()
+    terms, codes = words.dictionary, words.indices.to_numpy(zero_copy_only=False)
+    if stemming:
+        stems = pa.array([stem(w) for w in terms.to_pylist()], pa.string()).dictionary_encode()
+        codes, terms = stems.indices.to_numpy(zero_copy_only=False)[codes] if len(codes) else codes, stems.dictionary
+    return codes, lengths, terms
+
 
-    Stems are computed once per distinct word and joined back; the vocabulary is hash-joined, not collected.
-    """
-    words = docs.select(key, F.posexplode(remove_stop_words(tokenize(F.col(text)))).alias("pos", "term"))
+def analyze(docs: DataFrame, analyzer: str = "stem", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, pos, term): positions are over the tokens left after the stop words. No shuffle: stems are made batch by batch."""
+    tokens = remove_stop_words(tokenize(F.col(text)))
     if analyzer == "stop":
-        return words
-    stems = words.select(F.col("term").alias("word")).distinct().withColumn("stem", stem_udf("word"))
-    return words.join(stems, words["term"] == stems["word"]).select(key, "pos", F.col("stem").alias("term"))
+        return docs.select(key, F.posexplode(tokens).alias("pos", "term"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            codes, lengths, terms = analyzed_tokens(batch.column(1), True)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            pos = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(pos.astype(np.int32)), terms.take(pa.array(codes))], [key, "pos", "term"])
+
+    return docs.select(key, tokens.alias("tokens")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, pos int, term string")
 
 
 def query_terms(text: str, analyzer: str = "stem") -> list[str]:

@@ -113,32 +113,21 @@ def memory_bytes(vectors: DataFrame) -> DataFrame:
     return vectors.agg(F.sum(4 * d).alias("flat_bytes"), F.sum(d + 8).alias("sq8_bytes"))
 
 
-class AnnIndex:
-    """Approximate nearest neighbours by sign-hash cells: a query looks only into cells within `probes` flipped bits.
+def save_sq8(quantized: DataFrame, path: str) -> None:
+    """Rows of sq8() with their components as bytes, and a row with marker and version."""
+    raw = F.transform("q", lambda b: F.lpad(F.hex(b), 2, "0"))
+    quantized.select("vec_id", "min", "scale", F.unhex(F.array_join(raw, "")).alias("bytes")).write.mode("overwrite").parquet(f"{path}/rows")
+    quantized.sparkSession.createDataFrame([("SQ81", 1)], "magic string, version int").write.mode("overwrite").parquet(f"{path}/manifest")
 
-    Each of several tables has its own planes; a row is scored if any table has it in a near cell.
-    """
-
-    def __init__(self, vectors: DataFrame, dim: int, bits: int = 6, seed: int = 42, tables: int = 2) -> None:
-        self.planes = np.random.RandomState(seed).standard_normal((tables, bits, dim))
-        for t, planes in enumerate(self.planes):
-            cell = sum((F.when(dot(F.col("embedding"), literal(p)) >= 0, 1 << i).otherwise(0) for i, p in enumerate(planes)), F.lit(0))
-            vectors = vectors.withColumn(f"cell_{t}", cell)
-        self.vectors = vectors
-
-    def cells(self, query, probes: int) -> list[list[int]]:
-        """The cells of each table that a query looks into."""
-        out = []
-        for planes in self.planes:
-            own = sum(1 << i for i, m in enumerate(planes @ np.asarray(query, np.float64)) if m >= 0)
-            out.append([c for c in range(1 << len(planes)) if bin(c ^ own).count("1") <= probes])
-        return out
 
-    def search(self, query, k: int = 10, probes: int = 2, predicate: Column | None = None) -> DataFrame:
-        near = F.lit(False)
-        for t, cells in enumerate(self.cells(query, probes)):
-            near = near | F.col(f"cell_{t}").isin(cells)
-        return knn(self.vectors.filter(near), query, k, predicate)
+def load_sq8(spark: SparkSession, path: str) -> DataFrame:
+    head = spark.read.parquet(f"{path}/manifest").first()
+    if head is None or (head["magic"], head["version"]) != ("SQ81", 1):
+        raise ValueError(f"{path} holds no quantized vectors of version 1")
+    at = F.sequence(F.lit(1), F.length("bytes"))
+    digits = F.transform(at, lambda i: F.conv(F.hex(F.substring(F.col("bytes"), i, F.lit(1))), 16, 10).cast("int"))
+    rows = spark.read.parquet(f"{path}/rows")
+    return rows.select("vec_id", "min", "scale", F.when(F.length("bytes") > 0, digits).otherwise(F.array().cast("array<int>")).alias("q"))
 
 
 def mean_pool(tokens: DataFrame) -> DataFrame:
@@ -155,13 +144,21 @@ def unit_check(vectors: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     return vectors.agg(F.count("*").alias("vectors"), F.count(F.when(F.abs(norm - 1) < tolerance, 1)).alias("unit"))
 
 
-def encode(texts: DataFrame, model: Callable[[list[str]], np.ndarray], column: str = "text") -> DataFrame:
-    """texts with embedding: the pluggable encoder is called once per Arrow batch."""
+def encode(texts: DataFrame, model: Callable[[list[str]], np.ndarray], column: str = "text", batch: int = 16, unit: float | None = None) -> DataFrame:
+    """texts with embedding: the pluggable encoder gets `batch` texts at a time, null ones as empty.
+
+    With `unit`, a vector whose norm is off 1 by more than that raises.
+    """
     from pyspark.sql import types as T
 
     def run(it):
         for part in it:
-            part["embedding"] = list(model(part[column].fillna("").tolist()))
+            asked = part[column].fillna("").tolist()
+            made = [np.asarray(model(asked[i : i + batch])) for i in range(0, len(asked), batch)]
+            vectors = np.concatenate(made) if made else np.zeros((0, 0))
+            if unit is not None and len(vectors) and np.abs(np.linalg.norm(vectors, axis=1) - 1).max() > unit:
+                raise ValueError("the encoder's vectors are not of unit length")
+            part["embedding"] = list(vectors)
             yield part
 
     return texts.mapInPandas(run, T.StructType([*texts.schema, T.StructField("embedding", T.ArrayType(T.FloatType()))]))

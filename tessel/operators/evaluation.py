@@ -38,6 +38,13 @@ def gain_percent(base: Column, new: Column) -> Column:
     return F.when(base == 0, 0.0).otherwise((new - base) / base * 100)
 
 
+def mean_gain(base: DataFrame, new: DataFrame) -> DataFrame:
+    """One row: mean ndcg over the queries of either result of ndcg(), and the gain in percent; a query that is missing counts 0."""
+    both = base.select("query_id", F.col("ndcg").alias("b")).join(new.select("query_id", F.col("ndcg").alias("n")), "query_id", "full")
+    means = both.agg(F.avg(F.coalesce("b", F.lit(0.0))).alias("base_ndcg"), F.avg(F.coalesce("n", F.lit(0.0))).alias("new_ndcg"))
+    return means.select(F.round("base_ndcg", 6).alias("base_ndcg"), F.round("new_ndcg", 6).alias("new_ndcg"), F.round(gain_percent(F.col("base_ndcg"), F.col("new_ndcg")), 4).alias("gain_percent"))
+
+
 def latency(samples: DataFrame, value: str = "value", *by: str) -> DataFrame:
     """mean, population deviation, interpolated percentiles and samples per second of latencies in microseconds."""
     p = lambda q: F.round(F.percentile(value, F.lit(q)), 6)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessel.functions.text import tokenize
@@ -107,3 +110,22 @@ def category(text: Column) -> Column:
 
 def with_metadata(docs: DataFrame) -> DataFrame:
     return docs.withColumn("category", category(F.col("text"))).withColumn("year", (2022 + F.col("doc_id") % 4).cast("int"))
+
+
+def cross_score_model(pairs: DataFrame, model: Callable[[list[str], list[str]], list[float]]) -> DataFrame:
+    """pairs(query, text, ...) with cross: the logistic function of what a pluggable pair model says, 0 where either is empty.
+
+    The model gets the queries and texts of an Arrow batch; it is loaded wherever it is called.
+    """
+
+    def run(it):
+        for part in it:
+            query, text = part["query"].fillna("").tolist(), part["text"].fillna("").tolist()
+            some = [i for i, (q, t) in enumerate(zip(query, text, strict=True)) if q and t]
+            part["cross"] = 0.0
+            if some:
+                said = model([query[i] for i in some], [text[i] for i in some])
+                part.loc[part.index[some], "cross"] = [1 / (1 + math.exp(-x)) for x in said]
+            yield part
+
+    return pairs.mapInPandas(run, T.StructType([*pairs.schema, T.StructField("cross", T.DoubleType())]))

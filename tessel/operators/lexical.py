@@ -4,16 +4,11 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.text import query_terms
-from tessel.operators.index import Index
-
-
-def _query(index: Index, tokens: list[str]) -> DataFrame:
-    rows = sorted(Counter(tokens).items())
-    return F.broadcast(index.docs.sparkSession.createDataFrame(rows, "term string, qtf int"))  # one row per query token
+from tessel.operators.index import Index, bm25, tfidf
 
 
 def top(df: DataFrame, k: int | None, score: str = "score") -> DataFrame:
@@ -21,10 +16,17 @@ def top(df: DataFrame, k: int | None, score: str = "score") -> DataFrame:
     return out.orderBy(F.desc(score), "doc_id").limit(k) if k is not None else out
 
 
-def score_all(index: Index, tokens: list[str], postings: DataFrame | None = None) -> DataFrame:
+def _times(tokens: list[str]) -> Column:
+    """How often the query holds a posting's term."""
+    return F.element_at(F.create_map(*(F.lit(x) for kv in sorted(Counter(tokens).items()) for x in kv)), F.col("term"))
+
+
+def score_all(index: Index, tokens: list[str], hits: DataFrame | None = None, df: DataFrame | None = None) -> DataFrame:
     """(doc_id, score) of every document that holds a query token; a repeated token counts as often."""
-    hits = (index.postings if postings is None else postings).join(_query(index, tokens), "term")
-    return index.scored(hits).groupBy("doc_id").agg(F.sum(F.col("qtf") * F.col("score")).alias("score")).filter("score > 0")
+    if not tokens:
+        return index.docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+    scored = index.scored(index.hits(tokens) if hits is None else hits, df)
+    return scored.groupBy("doc_id").agg(F.sum(_times(tokens) * F.col("score")).alias("score")).filter("score > 0")
 
 
 def search(index: Index, text: str, k: int = 10) -> DataFrame:
@@ -33,32 +35,55 @@ def search(index: Index, text: str, k: int = 10) -> DataFrame:
     return top(score_all(index, tokens), k)
 
 
+class Pruning:
+    """What a pruned search knows beforehand: a threshold, the terms without which no document reaches it, and bounds."""
+
+    def __init__(self, index: Index, text: str, k: int) -> None:
+        self.index, self.tokens = index, query_terms(text, index.analyzer)
+        self.known = index.known(self.tokens, k)
+        times = Counter(self.tokens)
+        #: No less than the k-th best score: k documents reach it by one term alone.
+        self.theta = max((times[t] * kth for t, (_, _, kth) in self.known.items()), default=0.0)
+        self.bound = {t: times[t] * most for t, (_, most, _) in self.known.items()}
+        weak, total = set(), 0.0
+        for t in sorted(self.bound, key=lambda t: (self.bound[t], t)):
+            total += self.bound[t]
+            if total >= self.theta - 1e-9:
+                break
+            weak.add(t)
+        self.essential = [t for t in self.bound if t not in weak]
+
+    def able(self) -> DataFrame:
+        """(doc_id, bound, able) of every document with a query term; able: it holds an essential term and its bound reaches theta."""
+        bound = F.element_at(F.create_map(*(F.lit(x) for kv in self.bound.items() for x in kv)), F.col("term"))
+        rows = self.index.hits(self.tokens).groupBy("doc_id").agg(F.sum(bound).alias("bound"), F.max(F.col("term").isin(self.essential)).alias("essential"))
+        return rows.select("doc_id", "bound", (F.col("essential") & (F.col("bound") >= self.theta - 1e-9)).alias("able"))
+
+
 def search_pruned(index: Index, text: str, k: int = 10) -> DataFrame:
-    """The same rows as search() in two phases.
+    """The same rows as search(): documents without an essential term, or whose bounds stay below the threshold, are not scored.
 
-    Phase one scores the documents of the rarest query term only; its k-th score is a threshold. Phase two drops the
-    documents whose terms' upper bounds add up to less and scores the rest.
+    Frequencies, bounds and the k-th best score of each query term are known to the index, so the search is one pass over
+    the terms' postings; each document's are gathered once, tested by their bounds and then scored.
     """
-    tokens = query_terms(text, index.analyzer)
-    bounds = index.bounds.join(_query(index, tokens), "term")
-    hits = index.postings.join(_query(index, tokens), "term").select("term", "doc_id", "tf")
-    rare = bounds.orderBy("df", "term").limit(1).select("term")
-    first = score_all(index, tokens, hits.drop("qtf").join(hits.join(F.broadcast(rare), "term").select("doc_id").distinct(), "doc_id", "left_semi"))
-    kth = first.orderBy(F.desc("score")).limit(k).agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("theta"))
-    able = hits.join(F.broadcast(bounds.select("term", "qtf", "max_score")), "term").groupBy("doc_id").agg(F.sum(F.col("qtf") * F.col("max_score")).alias("bound"))
-    able = able.join(F.broadcast(kth)).filter("bound >= theta - 1e-9").select("doc_id")
-    return top(score_all(index, tokens, hits.join(able, "doc_id", "left_semi")), k)
+    p = Pruning(index, text, k)
+    if not p.tokens:
+        return search(index, text, k)
+    n, avgdl = (F.lit(x) for x in index.totals)
+    pick = lambda values: F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), F.col("term"))
+    df = pick({t: d for t, (d, _, _) in p.known.items()})
+    score = 0.7 * bm25(F.col("tf"), df, n, F.col("dl"), avgdl) + 0.3 * tfidf(F.col("tf"), df, n, F.col("dl"))
+    rows = index.hits(p.tokens).groupBy("doc_id").agg(
+        F.sum(pick(p.bound)).alias("bound"), F.max(F.col("term").isin(p.essential)).alias("essential"), F.sum(_times(p.tokens) * score).alias("score")
+    )
+    return top(rows.filter(F.col("essential") & (F.col("bound") >= p.theta - 1e-9) & (F.col("score") > 0)).select("doc_id", "score"), k)
 
 
 def pruning_stats(index: Index, text: str, k: int = 10) -> DataFrame:
-    """(candidates, evaluated, skipped) of the pruned search."""
-    tokens = query_terms(text, index.analyzer)
-    hits = index.postings.join(_query(index, tokens), "term").select("term", "doc_id", "tf")
-    bounds = index.bounds.join(_query(index, tokens), "term").select("term", "qtf", "max_score")
-    theta = F.broadcast(search(index, text, k).agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("theta")))
-    able = hits.join(F.broadcast(bounds), "term").groupBy("doc_id").agg(F.sum(F.col("qtf") * F.col("max_score")).alias("bound")).join(theta)
-    evaluated = F.count(F.when(F.col("bound") >= F.col("theta") - 1e-6, 1))
-    return able.agg(F.count("*").alias("candidates"), evaluated.alias("evaluated"), (F.count("*") - evaluated).alias("skipped"))
+    """(candidates, evaluated, skipped) of search_pruned()."""
+    p = Pruning(index, text, k)
+    evaluated = F.count(F.when(F.col("able"), 1))
+    return p.able().agg(F.count("*").alias("candidates"), evaluated.alias("evaluated"), (F.count("*") - evaluated).alias("skipped"))
 
 
 def phrase(index: Index, tokens: list[str]) -> DataFrame:
@@ -67,7 +92,7 @@ def phrase(index: Index, tokens: list[str]) -> DataFrame:
     if not tokens:
         return index.docs.select("doc_id").limit(0)
     wanted = F.broadcast(spark.createDataFrame(list(enumerate(tokens)), "i int, term string"))
-    at = index.postings.join(wanted, "term").select("doc_id", "i", F.explode("positions").alias("pos"))
+    at = index.postings.filter(F.col("term").isin(tokens)).join(wanted, "term").select("doc_id", "i", F.explode("positions").alias("pos"))
     starts = at.groupBy("doc_id", (F.col("pos") - F.col("i")).alias("start")).agg(F.count_distinct("i").alias("n"))
     return starts.filter(F.col("n") == len(tokens)).select("doc_id").distinct()
 

@@ -81,12 +81,36 @@ def either_slot(rows: DataFrame, who: DataFrame, a: str = "p1", b: str = "p2") -
     return one.unionByName(two)
 
 
-def encrypted(text: Column, key: Column) -> Column:
-    return F.hex(F.aes_encrypt(text, key, F.lit("GCM")))
+def encrypted(text: Column, key: Column, iv: Column | None = None) -> Column:
+    """`iv:tag:cipher` in lower-case hexadecimal, by AES in Galois counter mode; key has 32 bytes.
+
+    The start value has 12 bytes, the length that Spark's function takes; by default it is drawn anew for every row.
+    """
+    raw = F.hex(F.aes_encrypt(text, key, F.lit("GCM")) if iv is None else F.aes_encrypt(text, key, F.lit("GCM"), F.lit("DEFAULT"), iv))
+    n = F.length(raw)
+    return F.lower(F.concat_ws(":", F.substring(raw, 1, 24), F.substring(raw, n - 31, F.lit(32)), F.substring(raw, F.lit(25), n - 56)))
+
+
+def decrypted(message: Column, key: Column) -> Column:
+    """Text of an encrypted message; null if it was changed or the key is another."""
+    part = F.split(message, ":")
+    return F.try_aes_decrypt(F.unhex(F.concat(part[0], part[2], part[1])), key, F.lit("GCM")).cast("string")
+
+
+def registered(users: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of wanted(email, phone, ...) whose email and phone no user has; null ones match nothing."""
+    free = wanted.join(users.select("email").filter("email is not null").distinct(), "email", "left_anti")
+    return free.join(users.select("phone").filter("phone is not null").distinct(), "phone", "left_anti").select(*wanted.columns)
+
+
+def refreshed(tokens: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """(token, user_id) of the tokens asked for that exist and have not expired: expires_at is not before now."""
+    return tokens.join(asked.select("token").distinct(), "token", "left_semi").filter(F.col("expires_at") >= now).select("token", "user_id")
 
 
-def decrypted(cipher: Column, key: Column) -> Column:
-    return F.aes_decrypt(F.unhex(cipher), key, F.lit("GCM")).cast("string")
+def logged_out(tokens: DataFrame, left: DataFrame) -> DataFrame:
+    """tokens without those of left(token)."""
+    return tokens.join(left.select("token").distinct(), "token", "left_anti")
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -66,14 +66,53 @@ class Engine:
             ranked = fusion.boosted(ranked, fusion.click_boost(self.clicks)).select("doc_id", "score")
         return self._shown(ranked, keep, k, "score")
 
-    def collected(self, text: str, mode: str = "bm25", k: int = 10, where: str = "") -> list:
-        """Rows of search(), remembered by mode, text, k and filter."""
+    def collected(self, text: str, mode: str = "bm25", k: int = 10, where: str = "", spell: bool = False) -> list:
+        """Rows of search(), remembered by mode, corrected text, k and filter; clicks and new documents empty the memory."""
+        text = suggest.correct_query(self.index, text) if spell else text
         key = mode, text, k, where
         if (rows := self.cache.get(key)) is None:
             rows = self.search(text, mode, k, where).collect()
             self.cache.put(key, rows)
         return rows
 
+    def click(self, doc_id: int) -> bool:
+        """Counts a click; ids of 0 and less are refused."""
+        if doc_id <= 0:
+            return False
+        new = self.docs.sparkSession.createDataFrame([(doc_id,)], "doc_id long")
+        self.clicks = new if self.clicks is None else self.clicks.select("doc_id").unionByName(new)
+        self.cache.clear()
+        return True
+
+    def insert(self, rows: DataFrame) -> None:
+        """Adds or replaces documents (doc_id, text); the index is that of the new table."""
+        old = self.docs.select("doc_id", "text")
+        self.docs = fusion.with_metadata(old.join(rows.select("doc_id"), "doc_id", "left_anti").unionByName(rows.select("doc_id", "text")))
+        self.index.close()
+        self.index = Index(self.docs, self.index.analyzer)
+        self.cache.clear()
+
+    def delete(self, rows: DataFrame) -> None:
+        """Marks documents (doc_id) as dead."""
+        new = rows.select("doc_id")
+        self.dead = new if self.dead is None else self.dead.select("doc_id").unionByName(new)
+        self.cache.clear()
+
+    def document(self, method: str, rows: DataFrame) -> bool:
+        """Routes POST and DELETE of documents; other methods are not found."""
+        if method not in ("POST", "DELETE"):
+            return False
+        (self.insert if method == "POST" else self.delete)(rows)
+        return True
+
+    def command(self, line: str, k: int = 10) -> list:
+        """One line of a shell: `bm25 words`, `wand words`, `phrase words`, `rerank words`, `click id`; a bare line is bm25."""
+        word, _, rest = line.strip().partition(" ")
+        if word == "click":
+            return [self.click(int(rest))] if rest.strip().lstrip("-").isdigit() else []
+        mode, text = (word, rest) if word in ("bm25", "wand", "phrase", "rerank") else ("bm25", line)
+        return self.collected(text, mode, k) if text.strip() else []
+
     def suggest(self, prefix: str, k: int = 5) -> DataFrame:
         return suggest.suggest(suggest.suggest_terms(self.docs), prefix, k)
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessel.operators import dense
+from tessel.operators import dense, graph
 from tessel.queries.registry import query, table
 
 _E = "e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings), q AS (SELECT v AS qv FROM e WHERE vec_id = 7)"
@@ -25,22 +25,17 @@ def d2(spark, d):
     return dense.knn(e, q, 10)
 
 
-@query("d2_knn_batch", f"WITH {_E}, s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v), 6) AS sim FROM e a, e b WHERE a.vec_id < 20), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 10")
+@query("d2_knn_batch", f"WITH {_E}, s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v), 6) AS sim FROM e a, e b WHERE a.vec_id % 50 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 10")
 def d2b(spark, d):
-    e = table(spark, d, "embeddings")
-    return dense.knn_batch(e, e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
-
-
-@query("d2_knn_batch_all", f"WITH {_E}, s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v), 6) AS sim FROM e a, e b WHERE a.vec_id % 50 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 10")
-def d2b_all(spark, d):
     e = table(spark, d, "embeddings")
     return dense.knn_batch(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
 
 
 @query("d3_d4_ann_search")
 def d34(spark, d):
-    e, q = _q(spark, d)
-    return dense.AnnIndex(e, len(q)).search(q, 10, probes=3)
+    """Every vector whose id is divisible by 50 is asked against the graph of all."""
+    e = table(spark, d, "embeddings")
+    return graph.search(graph.build(e), e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
 
 
 @query("d5_knn_filtered", f"WITH {_E} SELECT vec_id, round(list_dot_product(v, qv), 6) AS sim FROM e, q WHERE label IN (1, 3) ORDER BY sim DESC, vec_id LIMIT 10")

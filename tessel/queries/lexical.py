@@ -5,7 +5,7 @@ from pyspark.sql.window import Window
 
 from tessel.functions import text as tx
 from tessel.operators import evaluation, lexical, mutation
-from tessel.operators.index import Index, merged, segments
+from tessel.operators.index import merged, numbered, segment_postings, segments
 from tessel.queries.registry import TOKENS, index, query, table
 from tessel.sources import files
 
@@ -55,9 +55,24 @@ def t8(spark, d):
     return docs.groupBy("doc_id", "bigram").agg(F.count("*").alias("n"))
 
 
-@query("t9_url_params", r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, nullif(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '') AS ref FROM pages""")
+@query("t9_url_params", r"""WITH q AS (SELECT page_id, regexp_extract(url, '\?([^#]*)', 1) AS raw FROM pages),
+p AS (SELECT page_id, unnest(string_split(raw, '&')) AS part, unnest(range(len(string_split(raw, '&')))) AS i FROM q WHERE raw <> ''),
+d AS (SELECT page_id, i, url_decode(replace(split_part(part, '=', 1), '+', ' ')) AS key, url_decode(replace(substr(part, instr(part, '=') + 1), '+', ' ')) AS value FROM p WHERE contains(part, '='))
+SELECT page_id, key, value FROM d QUALIFY row_number() OVER (PARTITION BY page_id, key ORDER BY i DESC) = 1""")
 def t9(spark, d):
-    return table(spark, d, "pages").select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host"), F.try_parse_url("url", F.lit("QUERY"), F.lit("page")).alias("page"), F.try_parse_url("url", F.lit("QUERY"), F.lit("ref")).alias("ref"))
+    return table(spark, d, "pages").select("page_id", F.explode(files.query_params(F.col("url"))))
+
+
+@query("t9_url_host", r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages""")
+def t9h(spark, d):
+    return table(spark, d, "pages").select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host"))
+
+
+@query("t9_decoded_links", r"""SELECT doc_id, replace(lang, 'e', 'E f') AS lang, source || '&x=1' AS source FROM documents""")
+def t9d(spark, d):
+    url = F.concat(F.lit("http://h/p?lang=none&lang="), F.replace("lang", F.lit("e"), F.lit("%45+f")), F.lit("&flag&s%6Furce="), "source", F.lit("%26x%3D1#lang=no"))
+    q = files.query_params(url)
+    return table(spark, d, "documents").select("doc_id", q["lang"].alias("lang"), q["source"].alias("source"))
 
 
 @query("t10_escape_json", "SELECT event_id, CAST(to_json({'type': event_type, 'props': props}) AS VARCHAR) AS body FROM events")
@@ -93,9 +108,16 @@ def s10(spark, d):
     return files.generated(spark, *_GEN)
 
 
+@query("s15_bench_corpus", "WITH b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS doc_id, text FROM benchmark), n AS (SELECT count(*) AS n FROM b) SELECT r * n + doc_id AS doc_id, text || ' term_' || r || ' ' || (r * n + doc_id) AS text FROM b, n, range(CAST(ceil(2000 / n) AS BIGINT)) t(r) WHERE r * n + doc_id < 2000")
+def s15(spark, d):
+    b = table(spark, d, "benchmark")
+    base = b.select((F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("doc_id"), "text")  # the small base of a bench corpus
+    return files.repeated_corpus(base, 2000)
+
+
 @query("i1_postings", _with("SELECT term, doc_id, tf, positions FROM post"))
 def i1(spark, d):
-    return index(spark, d).postings
+    return index(spark, d).postings.select("term", "doc_id", "tf", "positions")
 
 
 @query("i2_doc_len", _with("SELECT doc_id, dl FROM dlen"))
@@ -144,10 +166,9 @@ def i10(spark, d):
     return index(spark, d).df.select("term")
 
 
-@query("i11_segment_build", _with("SELECT term, doc_id, tf, positions FROM post"))
+@query("i11_segment_build", _with("SELECT term, p.doc_id, tf, positions, segment FROM post p JOIN (SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // CAST(ceil((SELECT count(*) FROM documents) / 4.0) AS BIGINT) AS INTEGER) AS segment FROM documents) s ON s.doc_id = p.doc_id"))
 def i11(spark, d):
-    docs = segments(table(spark, d, "documents").select("doc_id", "text"), 4)
-    return merged(*(Index(docs.filter(F.col("segment") == i), "stop", keep=False).postings for i in range(4)))
+    return segment_postings(table(spark, d, "documents"), 4, "stop").drop("dl")
 
 
 @query("v7_chunking", "SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // CAST(ceil((SELECT count(*) FROM documents) / 4.0) AS BIGINT) AS INTEGER) AS segment FROM documents")
@@ -168,22 +189,19 @@ def i14(spark, d):
 
 @query("i16_vbyte_size", _with("SELECT term, CAST(sum(CASE WHEN g < 128 THEN 1 WHEN g < 16384 THEN 2 WHEN g < 2097152 THEN 3 WHEN g < 268435456 THEN 4 ELSE 5 END) AS BIGINT) AS bytes FROM (SELECT term, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS g FROM post) GROUP BY term"))
 def i16(spark, d):
-    p = index(spark, d).postings
-    gap = F.col("doc_id") - F.lag("doc_id", 1, 0).over(Window.partitionBy("term").orderBy("doc_id"))
-    return p.select("term", evaluation.vbyte_size(gap).alias("b")).groupBy("term").agg(F.sum("b").cast("long").alias("bytes"))
+    p = numbered(index(spark, d).postings)
+    return p.select("term", evaluation.vbyte_size(F.col("gap")).alias("b")).groupBy("term").agg(F.sum("b").cast("long").alias("bytes"))
 
 
 @query("v4_delta_decode", _with("SELECT term, doc_id, CAST(sum(g) OVER (PARTITION BY term ORDER BY doc_id) AS BIGINT) AS decoded FROM (SELECT term, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS g FROM post)"))
 def v4(spark, d):
-    w = Window.partitionBy("term").orderBy("doc_id")
-    p = index(spark, d).postings.select("term", "doc_id", (F.col("doc_id") - F.lag("doc_id", 1, 0).over(w)).alias("g"))
-    return p.select("term", "doc_id", F.sum("g").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("decoded"))
+    return numbered(index(spark, d).postings).select("term", "doc_id", "decoded")
 
 
 @query("l1_l2_l3_scores", _with("SELECT term, doc_id, round(bm25, 6) AS bm25, round(tfidf, 6) AS tfidf, round(7e-1 * bm25 + 3e-1 * tfidf, 6) AS score FROM scored JOIN q USING (term)", _Q))
 def l123(spark, d):
     ix = index(spark, d)
-    s = ix.scored(ix.postings.filter(F.col("term").isin(PROBE.split())))
+    s = ix.scored(ix.hits(PROBE.split()))
     return s.select("term", "doc_id", *(F.round(c, 6).alias(c) for c in ("bm25", "tfidf", "score")))
 
 
@@ -205,19 +223,27 @@ def l5(spark, d):
     return lexical.search_pruned(index(spark, d), PROBE, 10)
 
 
-@query("l6_pruning_stats")
+_PRUNED = """qs AS (SELECT term, 7e-1 * max(bm25) + 3e-1 * max(tfidf) AS bound, list_sort(list(7e-1 * bm25 + 3e-1 * tfidf), 'DESC')[10] AS kth FROM scored JOIN q USING (term) GROUP BY term),
+th AS (SELECT coalesce(max(kth), 0) AS theta FROM qs), es AS (SELECT term, bound, sum(bound) OVER (ORDER BY bound, term) >= theta - 1e-9 AS essential, theta FROM qs, th),
+dd AS (SELECT doc_id, bool_or(essential) AND sum(bound) >= any_value(theta) - 1e-9 AS able FROM post JOIN es USING (term) GROUP BY doc_id)"""
+
+
+@query("l6_pruning_stats", _with("SELECT count(*) AS candidates, count(*) FILTER (WHERE able) AS evaluated, count(*) FILTER (WHERE NOT able) AS skipped FROM dd", f"{_Q}, {_PRUNED}"))
 def l6(spark, d):
     return lexical.pruning_stats(index(spark, d), PROBE, 10)
 
 
-@query("l7_phrase_docs", _with("SELECT DISTINCT a.doc_id FROM words a JOIN words b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'thing' AND b.term = 'this'"))
+_ADJACENT = "SELECT DISTINCT a.doc_id{more} FROM words a JOIN words b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN words c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2 WHERE a.term = 'attion' AND b.term = 'thanedble' AND c.term = 'anea'"
+
+
+@query("l7_phrase_docs", _with(_ADJACENT.format(more="")))
 def l7(spark, d):
-    return lexical.phrase(index(spark, d), ["thing", "this"])
+    return lexical.phrase(index(spark, d), ["attion", "thanedble", "anea"])
 
 
-@query("l8_search_phrase", _with("SELECT DISTINCT doc_id, 1e0 AS score FROM words WHERE term = 'thing'"))
+@query("l8_search_phrase", _with(_ADJACENT.format(more=", 1e0 AS score")))
 def l8(spark, d):
-    return lexical.search_phrase(index(spark, d), "Thing")
+    return lexical.search_phrase(index(spark, d), "Attion thanedble, anea")
 
 
 @query("u2_boolean_and", _with("SELECT doc_id FROM post WHERE term = 'ering' INTERSECT SELECT doc_id FROM post WHERE term = 'this'"))
@@ -286,9 +312,16 @@ def m9(spark, d):
     return mutation.sharded_search(ix, PROBE, 10, 4, ix.docs.filter("doc_id % 17 = 0").select("doc_id"))
 
 
-@query("m8_m10_sharded_phrase", _with("SELECT DISTINCT a.doc_id, CAST(abs(a.doc_id) % 4 AS INTEGER) AS shard FROM words a JOIN words b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'thing' AND b.term = 'this'"))
+@query("m8_m10_sharded_phrase", _with(_ADJACENT.format(more=", CAST(abs(a.doc_id) % 4 AS INTEGER) AS shard")))
 def m10(spark, d):
-    return mutation.sharded_phrase(index(spark, d), ["thing", "this"])
+    return mutation.sharded_phrase(index(spark, d), ["attion", "thanedble", "anea"])
+
+
+@query("m12_shard_bounds", _with("""SELECT shard, term, df, round(7e-1 * ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * part + 3e-1 * share * ln(CAST(n AS DOUBLE) / df), 6) AS max_score FROM (
+  SELECT abs(p.doc_id) % 4 AS shard, term, count(*) AS df, max(tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * dl / s.avgdl))) AS part, max(CAST(tf AS DOUBLE) / dl) AS share, any_value(s.n) AS n
+  FROM post p JOIN dlen USING (doc_id) JOIN (SELECT abs(doc_id) % 4 AS shard, count(*) AS n, avg(dl) AS avgdl FROM dlen GROUP BY 1) s ON s.shard = abs(p.doc_id) % 4 GROUP BY ALL)"""))
+def m12(spark, d):
+    return mutation.shard_bounds(index(spark, d)).select(F.col("shard").cast("long"), "term", "df", F.round("max_score", 6).alias("max_score"))
 
 
 @query("a7_shard_rollup", _with("SELECT CAST(abs(doc_id) % 4 AS INTEGER) AS shard, count(*) AS docs, CAST(sum(dl) AS BIGINT) AS tokens FROM dlen GROUP BY 1"))

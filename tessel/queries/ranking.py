@@ -170,6 +170,28 @@ def e234(spark, d):
     return evaluation.ndcg(got, gains, 10)
 
 
+_PAIR = """both AS (SELECT 'a' AS query_id, doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 1 AS s FROM (SELECT doc_id, round(sum(7e-1 * bm25 + 3e-1 * tfidf), 6) AS score FROM scored WHERE term IN ('ering', 'thing') GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10)
+ UNION ALL SELECT 'b', doc_id, row_number() OVER (ORDER BY score DESC, doc_id), 1 FROM (SELECT doc_id, round(sum(7e-1 * bm25 + 3e-1 * tfidf), 6) AS score FROM scored WHERE term IN ('attion', 'oning') GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10)
+ UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id), 2 FROM rel QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) <= 10 AND query_id = 'a'),
+ideal AS (SELECT query_id, sum((pow(2e0, rel) - 1) / log2(n + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS n FROM rel) WHERE n <= 10 GROUP BY 1),
+got AS (SELECT s, query_id, round(coalesce(sum((pow(2e0, coalesce(rel, 0)) - 1) / log2(rank + 1)) / nullif(any_value(idcg), 0), 0), 6) AS ndcg FROM both LEFT JOIN rel USING (query_id, doc_id) LEFT JOIN ideal USING (query_id) GROUP BY ALL),
+m AS (SELECT avg(coalesce(x.ndcg, 0)) AS b, avg(coalesce(y.ndcg, 0)) AS n FROM (SELECT * FROM got WHERE s = 1) x FULL JOIN (SELECT * FROM got WHERE s = 2) y USING (query_id))"""
+
+
+@query("e4_e5_mean_gain", _with("SELECT round(b, 6) AS base_ndcg, round(n, 6) AS new_ndcg, round(CASE WHEN b = 0 THEN 0 ELSE (n - b) / b * 100 END, 4) AS gain_percent FROM m", f"{_KWSQL}, {_PAIR}"))
+def e45(spark, d):
+    """Two queries by the lexical search, against the ideal ranking of one of them."""
+    gains = evaluation.relevance(table(spark, d, "documents").select("doc_id", "text"), spark.createDataFrame(_KW, "query_id string, kw string, weight double"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    base = None
+    for name, text in (("a", "ering thing"), ("b", "attion oning")):
+        got = lexical.search(index(spark, d), text, 10).select(F.lit(name).alias("query_id"), "doc_id", "score")
+        base = got if base is None else base.unionByName(got)
+    best = gains.filter("query_id = 'a'").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rel"), "doc_id"))).filter("rank <= 10")
+    best = best.select("query_id", "doc_id", "rank")
+    return evaluation.mean_gain(evaluation.ndcg(base.withColumn("rank", rank), gains), evaluation.ndcg(best, gains))
+
+
 @query("a3_a4_latency", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(count(*) / nullif(sum(value) / 1e6, 0), 6) AS qps FROM events GROUP BY event_type")
 def a34(spark, d):
     return evaluation.latency(table(spark, d, "events"), "value", "event_type")
@@ -219,9 +241,25 @@ def x1r(spark, d):
     return engine(spark, d).search(PROBE, "rerank", 10).select("doc_id", "final")
 
 
-@query("x1_search_phrase", _with("SELECT DISTINCT doc_id, 1e0 AS score FROM words WHERE term = 'thing' AND doc_id % 17 <> 0 ORDER BY doc_id LIMIT 10"))
+@query("x1_search_phrase", _with("SELECT DISTINCT a.doc_id, 1e0 AS score FROM words a JOIN words b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'anea' AND b.term = 'eriner' AND a.doc_id % 17 <> 0 ORDER BY doc_id LIMIT 10"))
 def x1p(spark, d):
-    return engine(spark, d).search("thing", "phrase", 10).select("doc_id", "score")
+    return engine(spark, d).search("anea eriner", "phrase", 10).select("doc_id", "score")
+
+
+@query("l9_search_facade", _with("SELECT doc_id, round(score * (1 + coalesce(boost, 0)), 6) AS score FROM lexn LEFT JOIN b USING (doc_id) WHERE doc_id % 17 <> 0 ORDER BY score DESC, doc_id LIMIT 10", f"{_Q}, {_LEXN.format(n=30)}, {_CLICKS}"))
+def l9(spark, d):
+    """Spelling, then the lexical search, then boosts by clicks."""
+    e = engine(spark, d)
+    boosted = Engine(e.docs, dead=e.dead, clicks=_clicks(spark, d), analyzer="stop")
+    boosted.index = e.index
+    return boosted.search("eringg thble thing", "bm25", 10, spell=True).select("doc_id", "score")
+
+
+@query("x5_clicks", "SELECT event_id % 5 - 2 AS doc_id, count(*) AS n FROM events WHERE event_type = 'click' AND event_id % 5 - 2 > 0 GROUP BY 1")
+def x5(spark, d):
+    """Clicks on ids of 0 and less are refused."""
+    clicks = table(spark, d, "events").filter("event_type = 'click'").select((F.col("event_id") % 5 - 2).alias("doc_id"))
+    return clicks.filter("doc_id > 0").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("x3_metrics", "SELECT format('search_requests_total {}', count(*)) || chr(10) || format('search_latency_avg_ms {:.3f}', sum(value) / (count(*) * 1000.0)) AS metrics FROM events")
