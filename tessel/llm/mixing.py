@@ -19,6 +19,8 @@ from tessel.llm._common import WORD, small, staged
 _SPAN = float(16**13)
 #: Documents of a source that are drawn one after another; what they weigh bounds how far the others can stray.
 LARGE = 256
+#: Parts of a source in which its heaviest documents are looked for.
+SALTS = 16
 
 
 def words(text: Column) -> Column:
@@ -68,8 +70,12 @@ def thresholds(sized: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFra
     extra_. A unit is all rows of a source that agree in doc_id and size; they share a draw and weigh together.
     """
     units = sized.filter("size > 0").groupBy("source", "doc_id", "size").agg((F.count("*") * F.col("size")).alias("weight"))
-    nth = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("weight"), F.col("doc_id").asc_nulls_last(), "size"))
-    heavy = units.withColumn("nth", nth).filter(F.col("nth") <= LARGE).withColumn("u", draw(F.col("doc_id"), F.col("size"), seed))
+    order = [F.desc("weight"), F.col("doc_id").asc_nulls_last(), "size"]
+    part = F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS))  # the heaviest of each part first, so that no task ranks a whole source
+    some = units.withColumn("part", part).withColumn("nth", F.row_number().over(Window.partitionBy("source", "part").orderBy(*order)))
+    some = some.filter(F.col("nth") <= LARGE).drop("part", "nth")
+    nth = F.row_number().over(Window.partitionBy("source").orderBy(*order))
+    heavy = some.withColumn("nth", nth).filter(F.col("nth") <= LARGE).withColumn("u", draw(F.col("doc_id"), F.col("size"), seed))
     heavy = heavy.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("nth", "weight", "u", "doc_id", "size"))).alias("units"))
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     t = small(staged(targets.withColumn("whole_", F.floor(rate)).withColumnRenamed("source", "source_"), "targets"))

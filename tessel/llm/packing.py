@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessel.llm._common import model, staged, tidy
+from tessel.llm._common import model, partitions, staged, tidy
 
 LIMIT, END = 4096, 1
-#: Pieces of one length that are ranked in one task on average; a length of more is ranked in several cells.
+#: Pieces of one length that are ranked in one task at most on average; each length is ranked in as many cells as the
+#: session has shuffle partitions, or in more.
 CELL_ROWS = 100_000
 #: Parts of words remembered by a worker before that memory is emptied.
 CACHE_PARTS = 250_000
@@ -206,7 +207,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) -> D
         n += r["count"]
     slots, _ = best_two_fit(counts, limit)
     at = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    placed = cut.withColumn("at_", at).withColumn("cell_", F.pmod(F.xxhash64("at_"), F.lit(max(1, n // CELL_ROWS))))
+    placed = cut.withColumn("at_", at).withColumn("cell_", F.pmod(F.xxhash64("at_"), F.lit(max(partitions(docs.sparkSession), n // CELL_ROWS))))
     sizes = staged(placed.groupBy("length", "cell_").agg(F.count("*").alias("n_")), "cells")
     before = F.sum("n_").over(Window.partitionBy("length").orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("length", "cell_", F.coalesce(before, F.lit(0)).alias("before_"))
