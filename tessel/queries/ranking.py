@@ -7,7 +7,7 @@ from tessel.operators import evaluation, fusion, lexical, suggest
 from tessel.operators.dense import knn, vector_of
 from tessel.plans.search import Engine
 from tessel.queries.lexical import _Q, _TOP, PROBE, _with
-from tessel.queries.registry import index, query, table
+from tessel.queries.registry import index, query, spread, table
 
 _LEX = f"lex AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (SELECT * FROM ({_TOP}) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20))"
 _VEC = "e AS (SELECT vec_id AS doc_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings), qq AS (SELECT v AS qv FROM e WHERE doc_id = 7)"
@@ -109,17 +109,17 @@ _TERMS = "sugg AS (SELECT key, CAST(sum(w) AS BIGINT) AS freq FROM (SELECT unnes
 
 @query("q4_suggest_build", _with("SELECT key, freq FROM sugg", _TERMS))
 def q4(spark, d):
-    return suggest.suggest_terms(table(spark, d, "documents"))
+    return suggest.suggest_terms(spread(table(spark, d, "documents").select("text")))
 
 
 @query("q5_suggest", _with("SELECT key, freq FROM sugg WHERE starts_with(key, 'th') ORDER BY freq DESC, key LIMIT 5", _TERMS))
 def q5(spark, d):
-    return suggest.suggest(suggest.suggest_terms(table(spark, d, "documents")), "Th")
+    return suggest.suggest(suggest.suggest_terms(spread(table(spark, d, "documents").select("text"))), "Th")
 
 
 @query("q6_suggest_size", _with("SELECT count(*) AS terms FROM sugg", _TERMS))
 def q6(spark, d):
-    return suggest.suggest_terms(table(spark, d, "documents")).agg(F.count("*").alias("terms"))
+    return suggest.suggest_terms(spread(table(spark, d, "documents").select("text"))).agg(F.count("*").alias("terms"))
 
 
 @query("n1_snippet")

@@ -42,9 +42,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table's scan over all cores where its files are split into fewer parts, as a small table's are; else as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def index(spark: SparkSession, sf_dir: str, analyzer: str = "stop") -> Index:
     """One index a session, table folder and analyser; its frames are persisted when first used."""
     key = spark.sparkContext.applicationId, sf_dir, analyzer
     if key not in _INDEXES:
-        _INDEXES[key] = Index(table(spark, sf_dir, "documents"), analyzer)
+        _INDEXES[key] = Index(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), analyzer)
     return _INDEXES[key]
