@@ -170,11 +170,11 @@ def e234(spark, d):
     return evaluation.ndcg(got, gains, 10)
 
 
-_PAIR = """both AS (SELECT 'a' AS query_id, doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 1 AS s FROM (SELECT doc_id, round(sum(7e-1 * bm25 + 3e-1 * tfidf), 6) AS score FROM scored WHERE term IN ('ering', 'thing') GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10)
+_PAIR = """ranked AS (SELECT 'a' AS query_id, doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 1 AS s FROM (SELECT doc_id, round(sum(7e-1 * bm25 + 3e-1 * tfidf), 6) AS score FROM scored WHERE term IN ('ering', 'thing') GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10)
  UNION ALL SELECT 'b', doc_id, row_number() OVER (ORDER BY score DESC, doc_id), 1 FROM (SELECT doc_id, round(sum(7e-1 * bm25 + 3e-1 * tfidf), 6) AS score FROM scored WHERE term IN ('attion', 'oning') GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10)
  UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id), 2 FROM rel QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) <= 10 AND query_id = 'a'),
 ideal AS (SELECT query_id, sum((pow(2e0, rel) - 1) / log2(n + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS n FROM rel) WHERE n <= 10 GROUP BY 1),
-got AS (SELECT s, query_id, round(coalesce(sum((pow(2e0, coalesce(rel, 0)) - 1) / log2(rank + 1)) / nullif(any_value(idcg), 0), 0), 6) AS ndcg FROM both LEFT JOIN rel USING (query_id, doc_id) LEFT JOIN ideal USING (query_id) GROUP BY ALL),
+got AS (SELECT s, query_id, round(coalesce(sum((pow(2e0, coalesce(rel, 0)) - 1) / log2(rank + 1)) / nullif(any_value(idcg), 0), 0), 6) AS ndcg FROM ranked LEFT JOIN rel USING (query_id, doc_id) LEFT JOIN ideal USING (query_id) GROUP BY ALL),
 m AS (SELECT avg(coalesce(x.ndcg, 0)) AS b, avg(coalesce(y.ndcg, 0)) AS n FROM (SELECT * FROM got WHERE s = 1) x FULL JOIN (SELECT * FROM got WHERE s = 2) y USING (query_id))"""
 
 
