@@ -6,13 +6,15 @@ Every candidate token is scored by how much likelier the automaton makes it than
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import random
 import re
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,12 +53,10 @@ FORMATS = {
     "jwt": "eyJ{b:33}.eyJ{b:60}.{b:43}",
 }
 _RUNS = {"d": ALPHABET[:10], "h": ALPHABET[:16], "a": ALPHABET[:36], "A": ALPHABET[:62], "b": ALPHABET[:62] + "_-", "B": ALPHABET[:62] + "+/"}
-#: Labelled credentials of a format, and background tokens, that the models are fitted on at most.
-FIT_SECRETS, FIT_WORDS = 400, 8000
 #: Examples of each of FORMATS.
 EXAMPLES = 200
-#: Documents that background tokens come from at most, and characters of each.
-FIT_DOCS, FIT_CHARS = 50, 4000
+#: Characters of a kind's labelled credentials up to which the driver counts them; beyond it executors do, with equal results.
+LOCAL_CHARS = 1 << 20
 #: Bits by which a candidate must be likelier as a credential than as an ordinary token.
 PRIOR_BITS = 30.0
 #: A character that a state has not seen.
@@ -66,6 +66,7 @@ _CLASSES = {"digit": "0123456789", "hex": "abcdef", "lower": "ghijklmnopqrstuvwx
 _CLASS = {c: name for name, members in _CLASSES.items() for c in members}
 _CODE = np.zeros(129, np.uint8)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(1, len(ALPHABET) + 1)
+_CODES = len(ALPHABET) + 1
 _DOT = _CODE[ord(".")]
 _PART_CODE = _CODE.copy()
 _PART_CODE[[ord(c) for c in SEPARATORS]] = 0
@@ -73,45 +74,164 @@ _PART_CODE[[ord(c) for c in SEPARATORS]] = 0
 SLICE = 1 << 20
 
 
+def _key(edges: dict[str, int], c: str) -> str:
+    """The edge of a node that a character takes: its own, else its class's."""
+    return c if c in edges else _CLASS.get(c, c)
+
+
+def _level(strings: Iterable[str], edges: list[dict[str, int]], level: set[int], at: int) -> Counter:
+    """How many strings go on from each node of a level with each character ("": end there), as {(node, character): n}."""
+    out: Counter = Counter()
+    for s in strings:
+        q = 0
+        for c in s[:at]:
+            q = edges[q].get(_key(edges[q], c), -1)
+            if q < 0:
+                break
+        else:
+            if len(s) >= at and q in level:
+                out[q, s[at : at + 1]] += 1
+    return out
+
+
+def _parsed(strings: Iterable[str], edges: list[dict[str, int]]) -> Counter:
+    """How often whole strings take each edge of an automaton ("": end there); a character without an edge stays."""
+    out: Counter = Counter()
+    for s in strings:
+        q = 0
+        for c in s:
+            key = _key(edges[q], c)
+            out[q, key] += 1
+            q = edges[q].get(key, q)
+        out[q, ""] += 1
+    return out
+
+
+def _lengths(strings: Iterable[str]) -> Counter:
+    return Counter((len(s), "") for s in strings)
+
+
+class Local:
+    """Labelled credentials that the driver holds and counts."""
+
+    def __init__(self, strings: list[str]) -> None:
+        self.strings, self.here = strings, [(0, s) for s in strings]
+
+    def lengths(self) -> Counter:
+        return _lengths(self.strings)
+
+    def level(self, edges: list[dict[str, int]], level: set[int], at: int) -> Counter:
+        """As _level, for levels one after another."""
+        if at:
+            self.here = [(edges[q][_key(edges[q], s[at - 1])], s) for q, s in self.here if len(s) >= at]
+        self.here = [(q, s) for q, s in self.here if q in level]
+        return Counter((q, s[at : at + 1]) for q, s in self.here)
+
+    def parsed(self, edges: list[dict[str, int]]) -> Counter:
+        return _parsed(self.strings, edges)
+
+
+class Spread:
+    """Labelled credentials of a staged table (s), counted where they are: only sums by node and character travel.
+
+    heads: their first DEPTH + 1 characters, all that a tree looks at, if the driver can hold those; a few very long
+    credentials then take no pass a level.
+    """
+
+    def __init__(self, table: DataFrame, count: int, heads: list[str] | None = None) -> None:
+        self.table, self.count, self.heads = table, count, heads and Local(heads)
+
+    def __len__(self) -> int:
+        return self.count
+
+    def _sum(self, tally: Callable[[Iterable[str]], Counter]) -> Counter:
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: Counter = Counter()
+            for batch in it:
+                out.update(tally(batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_pydict({"q": pa.array([q for q, _ in out], pa.int64()), "c": pa.array([c for _, c in out], pa.string()), "n": pa.array(out.values(), pa.int64())})
+
+        sums = self.table.mapInArrow(tidy(run), "q long, c string, n long").groupBy("q", "c").agg(F.sum("n").alias("n"))
+        return Counter({(r["q"], r["c"]): r["n"] for r in sums.collect()})
+
+    def lengths(self) -> Counter:
+        return self._sum(_lengths)
+
+    def level(self, edges: list[dict[str, int]], level: set[int], at: int) -> Counter:
+        return self.heads.level(edges, level, at) if self.heads else self._sum(lambda strings: _level(strings, edges, level, at))
+
+    def parsed(self, edges: list[dict[str, int]]) -> Counter:
+        return self._sum(lambda strings: _parsed(strings, edges))
+
+
 class Grammar:
     """Probabilistic finite automaton by state merging of a prefix tree.
 
     In the tree a character is an edge of its own where it is frequent among the strings that reach the node, else its
     class is. Two states merge if a Hoeffding bound finds no difference between their stopping and moving frequencies,
-    here and below. Lengths have a distribution of their own, from three quarters of the shortest to half as much again
-    as the longest.
+    here and below. The tree counts all strings, level by level, and goes on below a node that at least one in RESOLUTION
+    of them reaches, down to DEPTH; a node below that is evidence for no difference. Where there are such nodes, all whole
+    strings are then parsed by the automaton, so that its frequencies are those of all characters of all strings. Lengths
+    have a distribution of their own, from three quarters of the shortest to half as much again as the longest.
     """
 
     #: Strings at a node, and a character's share of them, from which it is an edge of its own.
     OWN, SHARE = 20, 0.3
+    RESOLUTION, DEPTH = 1000, 256
 
-    def __init__(self, strings: list[str], alpha: float = 0.05) -> None:
+    def __init__(self, strings: list[str] | Spread, alpha: float = 0.05) -> None:
+        source = strings if isinstance(strings, Spread) else Local(strings)
+        self.seen = {n: k for (n, _), k in source.lengths().items()}
+        self.total = sum(self.seen.values())
+        self.shortest, self.longest = math.ceil(0.75 * min(self.seen)), int(1.5 * max(self.seen))
         self.count, self.final, self.moves, self.next = [], [], [], []
-        todo = [(self._node(len(strings)), strings, 0)]
-        while todo:
-            q, here, at = todo.pop()
-            chars = Counter(s[at] for s in here if len(s) > at)
-            own = {c for c, n in chars.items() if c not in _CLASS or (len(here) >= self.OWN and n >= self.SHARE * len(here))}
-            parts = defaultdict(list)
-            for s in here:
-                if len(s) > at:
-                    parts[s[at] if s[at] in own else _CLASS[s[at]]].append(s)
-                else:
-                    self.final[q] += 1
-            for key in sorted(parts):
-                self.moves[q][key] = len(parts[key])
-                self.next[q][key] = self._node(len(parts[key]))
-                todo.append((self.next[q][key], parts[key], at + 1))
+        level, at, whole = {self._node()}, 0, True
+        while level:
+            chars = defaultdict(dict)
+            for (q, c), n in source.level(self.next, level, at).items():
+                chars[q][c] = n
+            below = set()
+            for q in sorted(level):
+                here = self.count[q] = sum(chars[q].values())
+                self.final[q] = chars[q].pop("", 0)
+                own = {c for c, n in chars[q].items() if c not in _CLASS or (here >= self.OWN and n >= self.SHARE * here)}
+                parts: Counter = Counter()
+                for c, n in chars[q].items():
+                    parts[c if c in own else _CLASS[c]] += n
+                for key in sorted(parts):
+                    self.moves[q][key] = parts[key]
+                    self.next[q][key] = self._node()
+                    if at < self.DEPTH and parts[key] * self.RESOLUTION >= self.total:
+                        below.add(self.next[q][key])
+                    else:
+                        whole = False
+            level, at = below, at + 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self.tree_states = len(self.count)
         self._merge_all()
-        lengths = [len(s) for s in strings]
-        self.shortest, self.longest = math.ceil(0.75 * min(lengths)), int(1.5 * max(lengths))
-        seen, width = Counter(lengths), self.longest - self.shortest + 1
-        self.of_length = {n: math.log2((seen[n] + 0.1) / (len(lengths) + 0.1 * width)) for n in range(self.shortest, self.longest + 1)}
+        if not whole:
+            self._recount(source.parsed(self.next))
+
+    def _recount(self, edges: Counter) -> None:
+        self.moves, self.final = [{} for _ in self.states], [0 for _ in self.states]
+        for (q, key), n in sorted(edges.items()):
+            if key:
+                self.moves[q][key] = n
+            else:
+                self.final[q] = n
+        self.count = [self.final[q] + sum(self.moves[q].values()) for q in self.states]
+        self.next = [{key: self.next[q].get(key, q) for key in self.moves[q]} for q in self.states]
 
-    def _node(self, count: int) -> int:
-        self.count.append(count)
+    def of_length(self, n: int) -> float:
+        """log2 probability of a length; minus infinity outside the lengths of the format."""
+        if not self.shortest <= n <= self.longest:
+            return -math.inf
+        width = self.longest - self.shortest + 1
+        rare = 0.1 * min(1, 256 / width)  # one very long string takes no weight from the others
+        return math.log2((self.seen.get(n, 0) + rare) / (self.total + rare * width))
+
+    def _node(self) -> int:
+        self.count.append(0)
         self.final.append(0)
         self.moves.append({})
         self.next.append({})
@@ -181,7 +301,7 @@ class Grammar:
 
     def likelihood(self, s: str) -> float:
         """log2 probability of s given that it has the format; minus infinity outside the lengths of the format."""
-        total, q = self.of_length.get(len(s), -math.inf), 0
+        total, q = self.of_length(len(s)), 0
         for c in s if total > -math.inf else "":
             p, q = self._move(q, c)
             total += p
@@ -198,17 +318,29 @@ class Grammar:
         return first, pair
 
 
+def token_counts(tokens: list[str]) -> np.ndarray:
+    """Counts of tokens' first characters, of their pairs of neighbours and of their lengths up to 256, one after another."""
+    codes = _CODE[np.frombuffer("\n".join(["", *tokens, ""]).encode("ascii"), np.uint8)].astype(np.int32)
+    edge = np.flatnonzero(codes == 0)
+    start = edge[:-1] + 1
+    pair = codes[:-1] * _CODES + codes[1:]
+    pair = pair[(codes[:-1] > 0) & (codes[1:] > 0)]
+    parts = (codes[start], _CODES), (pair, _CODES**2), (np.minimum(edge[1:] - start, 256), 257)
+    return np.concatenate([np.bincount(x, minlength=n) for x, n in parts])
+
+
 class Ordinary:
-    """What tokens are like that are no credentials: a chain of characters and a distribution of lengths."""
-
-    def __init__(self, tokens: list[str]) -> None:
-        k = len(ALPHABET) + 1
-        first, pair, lengths = np.zeros(k), np.zeros((k, k)), np.full(257, 0.5)
-        for t in tokens:
-            codes = _CODE[np.frombuffer(t.encode("ascii"), np.uint8)]
-            first[codes[0]] += 1
-            np.add.at(pair, (codes[:-1], codes[1:]), 1)
-            lengths[min(len(t), 256)] += 1
+    """What tokens are like that are no credentials: a chain of characters and a distribution of lengths.
+
+    background: sums of token_counts, as (place, count) of those above 0.
+    """
+
+    def __init__(self, tokens: list[str], background: list[tuple[int, int]]) -> None:
+        counts = token_counts(tokens).astype(float)
+        for place, n in background:
+            counts[place] += n
+        first, pair, lengths = np.split(counts, [_CODES, _CODES + _CODES**2])
+        pair, lengths = pair.reshape(_CODES, _CODES), lengths + 0.5
         alone = pair.sum(axis=0) + first + 0.5  # what a character falls back on where it is rare after another
         alone /= alone.sum()
         self.first = np.log2((first + 3 * alone) / (first.sum() + 3))
@@ -245,34 +377,38 @@ def ordinary_examples(n: int = 150) -> list[str]:
 class Scanner:
     """Spans of a text: base kinds by pattern, kind `grammar` by likelihood under the automata inferred for each format.
 
-    labelled: credentials by format; a fifth of them, and half of ordinary_examples(), are held out of the fit. A format's
-    threshold is PRIOR_BITS, or more if an ordinary token held out scores more; `recall` is the share of its held-out
-    credentials that reach it. Background tokens of a corpus may hide credentials, so they only teach what is ordinary.
+    own: credentials of a corpus by kind, which are all learned. known: made examples by format; a fifth of them, and half
+    of ordinary_examples(), are held out of the fit. A threshold is PRIOR_BITS, or more if an ordinary token held out
+    scores more; `recall` is the share of a format's held-out credentials that reach it. Background tokens of a corpus
+    (counts as of Ordinary) may hide credentials, so they only teach what is ordinary.
     """
 
-    def __init__(self, labelled: dict[str, list[str]], background: list[str]) -> None:
+    def __init__(self, known: dict[str, list[str]], background: list[tuple[int, int]], own: dict[str, list[str] | Spread] | None = None) -> None:
         examples = sorted(set(ordinary_examples()), key=lambda t: hashlib.md5(t.encode()).digest())
-        self.ordinary = Ordinary([*background, *examples[::2]])
+        self.ordinary = Ordinary(examples[::2], background)
         self.grammars: dict[str, tuple[Grammar, float]] = {}
         self.recall: dict[str, float] = {}
-        for kind, known in labelled.items():
-            known = sorted(set(known), key=lambda t: hashlib.md5(t.encode()).digest())
-            if len(known) < 10:
+        for kind, strings in [*(own or {}).items(), *known.items()]:
+            if len(strings) < 10:
                 continue
-            grammar = Grammar(known[len(known) // 5 :])
+            held: list[str] = []
+            if kind in known:
+                strings = sorted(set(strings), key=lambda t: hashlib.md5(t.encode()).digest())
+                held, strings = strings[: len(strings) // 5], strings[len(strings) // 5 :]
+            grammar = Grammar(strings)
             bits = lambda s: grammar.likelihood(s) - self.ordinary.likelihood(s)  # noqa: B023, E731
             least = max(PRIOR_BITS, max(map(bits, examples[1::2])) + 1e-6)
-            held = known[: len(known) // 5]
             self.grammars[kind] = grammar, least
-            self.recall[kind] = sum(bits(s) >= least for s in held) / len(held)
+            if held:
+                self.recall[kind] = sum(bits(s) >= least for s in held) / len(held)
         if self.grammars:
             first, pair = (np.max(x, axis=0) for x in zip(*(g.best() for g, _ in self.grammars.values()), strict=True))
             self.first, self.pair = (first - self.ordinary.first), (pair - self.ordinary.pair)
             self.least = min(x for _, x in self.grammars.values())
             of_length = np.full(257, -np.inf)
             for g, _ in self.grammars.values():
-                for n, p in g.of_length.items():
-                    of_length[min(n, 256)] = max(of_length[min(n, 256)], p)
+                for n in {*range(257), *g.seen, max(256, g.shortest), g.longest}:
+                    of_length[min(n, 256)] = max(of_length[min(n, 256)], g.of_length(n))
             self.length = of_length - self.ordinary.lengths
 
     def bits(self, s: str) -> float:
@@ -332,41 +468,77 @@ class Scanner:
         return sorted(base, key=lambda x: (x[0], order(x[2]))), sorted(more)
 
 
-#: Where the base patterns label a credential, by kind: pattern and group of what the grammar of the kind learns.
-_LABELS = {
-    "assign": (r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})""", 1),
-    "access": (r"AKIA[A-Z0-9]{16,}", 0),
-    "hex": (r"[0-9a-f]{24,}", 0),
-}
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+
+
+def _learned(text: str) -> set[tuple[str, str]]:
+    """(base kind, credential) of every base span of a text, and ("", token) of every run of ALPHABET that meets none."""
+    out, spans = set(), []
+    for kind, (pattern, group, least) in BASE.items():
+        if kind == "hex":
+            pattern, group = _HEX, 0
+        if kind == "assign" and not _ASSIGN_HINT.search(text) or kind == "access" and "AKIA" not in text:
+            continue
+        for m in pattern.finditer(text):
+            if m.end(group) - m.start(group) >= least:
+                out.add((kind, m[group]))
+                spans.append(m.span())
+    if not spans:
+        return out | {("", s) for s in _RUN.findall(text)}
+    spans.sort()
+    reach = [*itertools.accumulate((e for _, e in spans), max)]  # the spans up to one end there
+    for m in _RUN.finditer(text):
+        i = bisect.bisect_left(spans, (m.end(),))  # spans that start before the run ends
+        if not i or reach[i - 1] <= m.start():
+            out.add(("", m[0]))
+    return out
 
 
-def labelled(docs: DataFrame) -> tuple[dict[str, list[str]], list[str]]:
-    """Bounded samples of labelled credentials, by base kind, and of background tokens, from docs.
+def labelled(docs: DataFrame) -> tuple[dict[str, list[str] | Spread], list[tuple[int, int]]]:
+    """All distinct labelled credentials of docs by base kind, and the counts (as of Ordinary) of all background tokens.
 
-    A credential is what a base pattern captures first in a text. Texts are read in one pass; each kind takes the
-    FIT_SECRETS least by a hash. Background tokens are the runs of candidate characters without a base span, from
-    FIT_DOCS documents drawn by a hash of doc_id.
+    A credential is what a base pattern captures, background tokens are the distinct runs of candidate characters that
+    meet no base span; both come from every whole text, read in one pass. A kind's credentials are a list up to
+    LOCAL_CHARS, else a Spread, whose table the caller discards.
     """
-    value = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.regexp_extract("text", p, g).alias("s")) for k, (p, g) in _LABELS.items())))
-    found = staged(docs.select(value.alias("v")).select("v.*").filter("s <> ''").distinct(), "labelled")
-    own = {k: sorted(r["s"] for r in found.filter(F.col("k") == k).orderBy(F.xxhash64("s"), "s").limit(FIT_SECRETS).collect()) for k in _LABELS}
-    discard(found)
-    ids = [r[0] for r in docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).collect()]
-    # the ids are drawn first: a sort with the texts would bring those of every task to the driver
-    words = docs.filter(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min(F.substring("text", 1, FIT_CHARS)).alias("t")).collect() if ids else []
-    base = Scanner({}, [])
-    background = set()
-    for r in words:
-        spans = base.spans(r["t"] or "")[0]
-        background |= {m[0] for m in re.finditer(r"[A-Za-z0-9+/_.=-]{6,}", r["t"] or "") if not any(s < m.end() and m.start() < e for s, e, _ in spans)}
-    kept = sorted(background, key=lambda t: hashlib.md5(t.encode()).digest())[:FIT_WORDS]
-    return own, kept
+    spark = docs.sparkSession
+    small_batches(spark)
+
+    def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = set().union(*(_learned(t) for t in batch.column(0).to_pylist() if t))
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k for k, _ in rows], pa.string()), "s": pa.array([s for _, s in rows], pa.string())})
+
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_CODES + _CODES**2 + 257, np.int64)
+        for batch in it:
+            total += token_counts(batch.column(0).to_pylist())
+        place = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"place": pa.array(place, pa.int64()), "n": pa.array(total[place], pa.int64())})
+
+    table = staged(docs.select("text").mapInArrow(tidy(found), "k string, s string").distinct(), "labelled")
+    sums = table.filter("k = ''").select("s").mapInArrow(tidy(counted), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    background = sorted((r["place"], r["n"]) for r in sums.collect())
+    size, head = F.length("s"), F.substring("s", 1, Grammar.DEPTH + 1)
+    sizes = table.filter("k <> ''").groupBy("k").agg(F.count("*").alias("n"), F.sum(size).alias("chars"), F.sum(F.length(head)).alias("heads")).collect()
+    own: dict[str, list[str] | Spread] = {k: [] for k in BASE}
+    for r in sizes:
+        kind = table.filter(F.col("k") == r["k"])
+        heads = [x[0] for x in kind.select(head).collect()] if r["heads"] <= LOCAL_CHARS < r["chars"] else None
+        if r["chars"] <= LOCAL_CHARS:
+            own[r["k"]] = [x["s"] for x in kind.collect()]
+        else:
+            own[r["k"]] = Spread(staged(kind.select("s"), "kind"), r["n"], heads)
+    discard(table)
+    return own, background
 
 
 def fitted(docs: DataFrame, known: dict[str, list[str]] | None = None) -> Scanner:
     """Scanner from the credentials that docs label and from known ones by format (FORMATS' by default)."""
     own, background = labelled(docs)
-    return Scanner(own | (format_examples() if known is None else known), background)
+    scanner = Scanner(format_examples() if known is None else known, background, own)
+    discard(*(x.table for x in own.values() if isinstance(x, Spread)))
+    return scanner
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:

@@ -262,6 +262,37 @@ def test_labels_of_every_kind(spark):
     assert words == []
 
 
+def test_secret_models_learn_from_every_row_and_whole_texts(spark, monkeypatch):
+    rnd = random.Random(12)
+    make = lambda i: f"password={rnd.getrandbits(64):016x} then 'token': \"{rnd.getrandbits(120):030x}\" x/{i}/AKIA{rnd.getrandbits(80):020X} " + words(rnd, 700) + f" late-{i}.word api_key=last-{rnd.getrandbits(40)}"
+    texts = [make(i) for i in range(450)] + [None, "", "a.b", *["copy-of-token, again"] * 3, "token=" + "aB3/" * 20000]
+    table = spark.createDataFrame([(i or None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    want, plain = collections.defaultdict(set), set()
+    for t in (t for t in texts if t):
+        spans = base_spans(t)
+        for s, e, kind in spans:
+            want[kind].add(re.split("[:=\" ']+", t[s:e])[-1])
+        plain |= {m[0] for m in re.finditer(r"[A-Za-z0-9+/_.=-]{6,}", t) if not any(s < m.end() and m.start() < e for s, e, _ in spans)}
+    found, background = secrets.labelled(table)
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()} and [len(found[k]) for k in found] == [1351, 450, 450]
+    seen = collections.Counter((0, w[0]) for w in plain) + collections.Counter((1, x) for w in plain for x in zip(w, w[1:], strict=False)) + collections.Counter((2, len(w)) for w in plain)
+    assert sorted(n for _, n in background) == sorted(seen.values()) and sum(n for (part, _), n in seen.items() if part == 2) == len(plain) > 450
+    place = lambda c: secrets.ALPHABET.index(c) + 1
+    assert dict(background)[place("l")] == seen[0, "l"] and dict(background)[secrets._CODES * (1 + place("l")) + place("a")] == seen[1, ("l", "a")]
+
+    local = secrets.fitted(table)
+    for limit in (0, 60_000):  # all levels on executors; the long value's kind with heads on the driver
+        monkeypatch.setattr(secrets, "LOCAL_CHARS", limit)
+        spread = secrets.fitted(table)
+        assert {"assign", "access", "hex"} < set(local.grammars) == set(spread.grammars)
+        for kind, (g, least) in local.grammars.items():
+            h, bound = spread.grammars[kind]
+            assert least == bound and all(getattr(g, x) == getattr(h, x) for x in ("count", "final", "moves", "next", "seen", "tree_states"))
+    g = local.grammars["assign"][0]  # more strings than RESOLUTION: rare nodes are not grown, yet every character counts
+    assert sum(g.count) == sum(len(s) + 1 for s in want["assign"]) and sum(g.final) == g.total == 1351
+    assert all(g.count[q] == g.final[q] + sum(g.moves[q].values()) for q in g.states)
+
+
 def test_language(docs, empty, spark):
     rnd = random.Random(5)
     make = lambda parts, n: " ".join("".join(rnd.choice(parts) for _ in range(3)) for _ in range(n))
