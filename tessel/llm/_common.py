@@ -62,6 +62,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def local_table(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
+    """A small table of the driver's values, sent as Arrow.
+
+    A list of rows would be read by Python workers of another kind than the operators', which each executor then holds
+    beside those.
+    """
+    return spark.createDataFrame(pa.table(columns))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -83,10 +92,21 @@ def _release() -> None:
         pass  # not this C library
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run for mapInArrow or mapInPandas, which gives freed memory back when its partition ends."""
+def _forget() -> None:
+    """Drops the model that this worker process holds."""
+    _MODEL[:] = [None, None]
+    _release()
+
+
+def tidy(run: Callable[[Iterator], Iterator], models: bool = False) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow or mapInPandas, which gives freed memory back when its partition ends.
+
+    models: run asks for a model(). Others first drop the one that an earlier operator left in their worker.
+    """
 
     def wrapped(it: Iterator) -> Iterator:
+        if not models:
+            _forget()
         try:
             yield from run(it)
         finally:
@@ -95,13 +115,26 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+def tidy_groups(run: Callable[[object, pa.Table], pa.Table]) -> Callable[[object, pa.Table], pa.Table]:
+    """tidy() for applyInArrow: run takes a key and a table, or two tables."""
+
+    def wrapped(a, b):  # Spark tells the kinds apart by the number of arguments
+        if _MODEL[0] is not None:
+            _forget()
+        try:
+            return run(a, b)
+        finally:
+            _release()
+
+    return wrapped
+
+
 _MODEL: list = [None, None]
 
 
 def model(key: object, build: Callable[[], object]) -> object:
     """What build() makes for key, kept until another key comes: a worker process holds one model of any operator."""
     if _MODEL[0] != key:
-        _MODEL[:] = [None, None]
-        _release()
+        _forget()
         _MODEL[:] = [key, build()]
     return _MODEL[1]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessel.llm._common import model, small_batches, tidy
+from tessel.llm._common import local_table, model, small_batches, tidy
 
 #: Bound of the sample that the automata are built from: characters a language, characters a row, rows a language.
 FIT_CHARS, FIT_ROW_CHARS, FIT_ROWS = 24_000, 600, 80
@@ -216,7 +216,7 @@ def training_text(rows: DataFrame) -> dict[str, str]:
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    rates = rows.sparkSession.createDataFrame([(lang, FIT_ROWS / n) for lang, n in counts.items()], "lang string, rate double")
+    rates = local_table(rows.sparkSession, {"lang": pa.array(list(counts), pa.string()), "rate": pa.array([FIT_ROWS / n for n in counts.values()], pa.float64())})
     u = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = rows.withColumn("u", u).join(F.broadcast(rates), "lang").filter("u < rate")
     some = some.select("lang", F.substring("text", 1, FIT_ROW_CHARS).alias("text"), "u")
@@ -317,7 +317,7 @@ def identify(docs: DataFrame, training: dict[str, str] | None = None) -> DataFra
         training = training_text(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(tidy(lambda it: _score(it, training)), f"doc_id {kind}, lang_pred string, score double, phrase_rate double")
+    out = docs.select("doc_id", "text").mapInArrow(tidy(lambda it: _score(it, training), models=True), f"doc_id {kind}, lang_pred string, score double, phrase_rate double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "phrase_rate")
 
 
@@ -339,4 +339,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
                 keep = [p != UNKNOWN and r * LEAST_PHRASE <= 1 for p, r in zip(found.column(1).to_pylist(), found.column(3).to_pylist(), strict=True)]
                 yield batch.take(found.column(0).filter(pa.array(keep, pa.bool_())))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return docs.mapInArrow(tidy(run, models=True), docs.schema)

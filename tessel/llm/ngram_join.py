@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm._common import discard, partitions, staged, tidy
+from tessel.llm._common import discard, local_table, partitions, staged, tidy, tidy_groups
 from tessel.llm._text import lower_ascii, mix, shingle_set, word_hashes
 from tessel.llm.components import connected_components
 
@@ -201,9 +201,9 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int = 5, percent: int
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     count = max(64, partitions(spark), -(-total // FRAGMENT))
     hot = hot_ngrams(docs, k, count, total)
-    counted = _fragments(docs, k, count, hot).groupBy("fragment").applyInArrow(_count_fragment(count), "bucket int, cls binary, tok binary, df binary")
+    counted = _fragments(docs, k, count, hot).groupBy("fragment").applyInArrow(tidy_groups(_count_fragment(count)), "bucket int, cls binary, tok binary, df binary")
     sized = classes.withColumn("bucket", F.shiftright(F.shiftrightunsigned("cls", 32) * count, 32).cast("int"))
-    found = counted.groupBy("bucket").cogroup(sized.groupBy("bucket")).applyInArrow(_survivors(percent), "cls long, n long, toks array<long>, prefix int")
+    found = counted.groupBy("bucket").cogroup(sized.groupBy("bucket")).applyInArrow(tidy_groups(_survivors(percent)), "cls long, n long, toks array<long>, prefix int")
     sets = staged(found, "sets")
     sizes = sets.select("cls", "n")
     top = F.shiftrightunsigned("t", 64 - CHECK_BITS)
@@ -211,7 +211,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int = 5, percent: int
     pieces = staged(pieces, "pieces")
     lists = sets.select("cls", "n", F.size("toks").alias("s"), F.posexplode(F.slice("toks", 1, F.col("prefix"))).alias("i", "tok"))
     lists = staged(lists.select("cls", "n", "tok", (F.col("s") - F.col("i")).alias("rest")), "lists")  # rest: shared n-grams from this one on
-    labels, edges, parts = spark.createDataFrame([], "node long, label long"), None, []
+    labels, edges, parts = local_table(spark, {"node": pa.array([], pa.int64()), "label": pa.array([], pa.int64())}), None, []
     # at the first n-gram of its prefix that a linked pair shares, what both have left must hold their whole overlap
     near = ((100 + percent) * F.least("r_a", "r_b") >= percent * (F.col("n_a") + F.col("n_b"))) & (F.col("a") != F.col("b"))
     for r in range(rounds + 1):

@@ -125,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out[0], pa.int32()), *(pa.array(c, pa.int64()) for c in out[1:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, models=True), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def two_fit_pattern(left: np.ndarray, limit: int = LIMIT) -> tuple[list[int], int]:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.llm import html_main, langid, mixing, ngram_join, packing, quality, secrets, sharding, vectors, warc
+from tessel.llm import _common, html_main, langid, mixing, ngram_join, packing, quality, secrets, sharding, vectors, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key long, cls long, shard int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -786,3 +786,35 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert kept == {(5, a): 1, (7, b): 1, (9, c): 1, (4, d): 1, (20, ""): 2, (None, None): 2, (21, data[-1][1]): 1}
     assert (7, b, "s") in got
     assert corpus_pipeline.near_duplicates(spark, t.limit(0), "").collect() == []
+
+
+def test_driver_tables_start_no_other_python_workers(spark, docs, monkeypatch):
+    made = docs.select("doc_id", "text", "lang").limit(30).persist()
+    made.count()
+
+    def refuse(*args, **kw):
+        raise AssertionError("a list of rows would be read by Python workers of another kind")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    assert langid.training_text(made).keys() == {"en", "de"}
+    assert langid.keep_identified(made).count() > 0
+    found = ngram_join.near_duplicates(made).collect()
+    assert len(found) == 30 and any(r["doc_id"] != r["component_id"] for r in found)
+
+
+def test_workers_hold_no_model_of_an_earlier_operator():
+    held = []
+
+    def run(*args):
+        held.append(_common._MODEL[0])
+        return iter(())
+
+    for wrapped, kept in ((_common.tidy(run, models=True), True), (_common.tidy(run), False), (lambda _: _common.tidy_groups(run)(1, 2), False)):
+        _common.model("earlier", list)
+        list(wrapped(iter(())))
+        assert (held[-1] == "earlier") == kept and (_common._MODEL[0] == "earlier") == kept
+    training = {"en": "some words of a sample", "de": "einige andere Laute"}
+    parser = langid._parser(training)
+    list(_common.tidy(lambda it: langid._score(it, training), models=True)(iter(())))
+    assert langid._parser(training) is parser  # built once a worker, not once a partition
+    _common._forget()
