@@ -2,6 +2,9 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from tessel.operators import social
 from tessel.streaming import jobs
 
 
@@ -19,3 +22,21 @@ def test_deliveries_of_one_room_are_the_work_of_all_tasks(spark, monkeypatch):
     want = Counter((r, m, e) for e, r, s in events for q, m in members if r is not None and r == q and s is not None and m is not None and m != s)
     assert Counter(map(tuple, got.collect())) == want and max(want.values()) == 3
     assert tasks_with_rows(got) == 4
+
+
+def test_nearby_of_a_crowd(spark, monkeypatch):
+    """Crowds at a few places, users at several places, repeated rows and nulls, against a plain join."""
+    monkeypatch.setattr(social, "RUN", 5)
+    rows = [(i, 48.05 + (i % 4) * 2e-4, 11.3 + (i % 3) * 3e-4) for i in range(60)] + [(60, None, 11.3), (None, 48.05, 11.3)]
+    for more in ([], [(5, 48.05, 11.3), (6, 48.0502, 11.3), (6, 48.0502, 11.3)]):
+        t = spark.createDataFrame(rows + more, "user_id long, lat double, lon double")
+        a, b = t.toDF("me", "lat0", "lon0"), t
+        plain = a.join(b, F.col("me") != F.col("user_id")).select("me", F.col("user_id").alias("other"), social.haversine(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")).alias("meters"))
+        plain = plain.filter("meters <= 50").distinct()
+        got = social.nearby(t, t, 50.0)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, plain.collect()))
+        rounded = social.nearby(t, b.select("*"), 50.0, digits=3)
+        assert Counter(map(tuple, rounded.collect())) == Counter(map(tuple, plain.withColumn("meters", F.round("meters", 3)).collect()))
+    crowd = spark.createDataFrame([(i, 48.05, 11.3) for i in range(300)], "user_id long, lat double, lon double")
+    near = social.nearby(crowd, crowd, 50.0)
+    assert near.count() == 300 * 299 and tasks_with_rows(near) == 4
