@@ -116,6 +116,23 @@ def bigrams(tokens: Column, least: int = 3) -> Column:
     return F.filter(pairs, lambda p: p.isNotNull())
 
 
+#: Tokens of which arrays are made at once.
+SLICE = 1 << 18
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch, with token lists in column 1, in runs of rows that hold SLICE tokens at most, or of one longer row.
+
+    Memory then follows neither the number of rows of a batch nor their lengths, only the longest document.
+    """
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def analyzed_tokens(tokens: pa.Array, stemming: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(number of each token's term, tokens a row, terms) of a batch of token lists; a distinct word is stemmed once."""
     lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -134,7 +151,7 @@ def analyze(docs: DataFrame, analyzer: str = "stem", text: str = "text", key: st
         return docs.select(key, F.posexplode(tokens).alias("pos", "term"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in (part for whole in it for part in slices(whole)):
             codes, lengths, terms = analyzed_tokens(batch.column(1), True)
             row = np.repeat(np.arange(len(lengths)), lengths)
             pos = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)

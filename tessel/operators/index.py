@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessel.functions.text import analyzed_tokens, remove_stop_words, tokenize
+from tessel.functions.text import analyzed_tokens, remove_stop_words, slices, tokenize
 
 K1, B = 1.5, 0.75
 #: Width in doc_ids of the blocks in which a term's posting list is numbered.
@@ -45,7 +45,7 @@ def _grouped(stem: bool):
     """Postings of batches of (doc_id, tokens): the tokens of a document are sorted by term and place at once."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in (part for whole in it for part in slices(whole)):
             words, lengths, terms = analyzed_tokens(batch.column(1), stem)
             if not len(words):
                 continue

@@ -2,9 +2,11 @@
 
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessel.operators import social
+from tessel.functions import text as tx
+from tessel.operators import index, social
 from tessel.streaming import jobs
 
 
@@ -40,3 +42,17 @@ def test_nearby_of_a_crowd(spark, monkeypatch):
     crowd = spark.createDataFrame([(i, 48.05, 11.3) for i in range(300)], "user_id long, lat double, lon double")
     near = social.nearby(crowd, crowd, 50.0)
     assert near.count() == 300 * 299 and tasks_with_rows(near) == 4
+
+
+def test_python_takes_a_batch_in_slices(monkeypatch):
+    """No array that is made of a batch holds more than a slice's tokens, and the slices hold all rows."""
+    lists = [["word"] * n for n in (3, 0, 9, 40, 1, 1, 6)] + [None, ["last"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9), pa.int64()), pa.array(lists, pa.list_(pa.string()))], ["doc_id", "tokens"])
+    whole = [r for b in index._grouped(True)([batch]) for r in b.to_pylist()]
+    monkeypatch.setattr(tx, "SLICE", 10)
+    assert [(b.num_rows, len(b.column(1).flatten())) for b in tx.slices(batch)] == [(2, 3), (1, 9), (1, 40), (5, 9)]
+    made = []
+    analyzed = index.analyzed_tokens
+    monkeypatch.setattr(index, "analyzed_tokens", lambda tokens, stem: made.append(len(tokens.flatten())) or analyzed(tokens, stem))
+    assert [r for b in index._grouped(True)([batch.slice(1), batch.slice(0, 1)]) for r in b.to_pylist()] == whole[1:] + whole[:1]
+    assert max(made) == 40 and sorted(made)[-2] <= 10
