@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -96,6 +96,11 @@ def stem_udf(words: pd.Series) -> pd.Series:
     return words.map(stem, na_action="ignore")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), in which value is worked out once a row however often it stands there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def normalize(text: Column) -> Column:
     """ASCII letters and digits in lower case, runs of blanks as one space, everything else deleted without a split."""
     return F.trim(F.lower(F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9 \t\n\r\f\x0B]", ""), BLANKS + "+", " ")))

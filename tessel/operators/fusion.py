@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessel.functions.text import tokenize
+from tessel.functions.text import let, tokenize
 
 
 def rrf(lexical: DataFrame, dense: DataFrame, k: int = 10, c: int = 60) -> DataFrame:
@@ -24,18 +24,27 @@ def rrf(lexical: DataFrame, dense: DataFrame, k: int = 10, c: int = 60) -> DataF
 
 
 def cross_score(query: str, text: Column) -> Column:
-    """Deterministic relevance of a text: 0.5 coverage + 0.2 density + 0.3 if the query occurs verbatim, at most 1."""
+    """Deterministic relevance of a text: 0.5 coverage + 0.2 density + 0.3 if the query occurs verbatim, at most 1.
+
+    The text is analysed once: an expression named by let() is not worked out anew for each use.
+    """
     words = re.sub(r"[^A-Za-z0-9 \t\n\r\f\x0b]", "", query).lower().split()
     if not words:
         return F.lit(0.0)
-    tokens = tokenize(text)
-    hit = F.transform(tokens, lambda t: t.isin(sorted(set(words))))
-    places = F.filter(F.transform(hit, lambda h, i: F.when(h, i)), lambda i: i.isNotNull())
-    n = F.size(places)
-    span = F.element_at(places, -1) - F.element_at(places, 1) + 1
-    density = F.when(n < 2, 1.0).when(span > 1, n / span).otherwise(1.0)
     verbatim = F.when(F.contains(text, F.lit(query)), 0.3).otherwise(0.0)
-    return F.when(F.size(tokens) == 0, 0.0).otherwise(F.least(F.lit(1.0), 0.5 * n / len(words) + 0.2 * density + verbatim))
+    wanted = sorted(set(words))
+
+    def score(places: Column) -> Column:
+        n = F.size(places)
+        span = F.element_at(places, -1) - F.element_at(places, 1) + 1
+        density = F.when(n < 2, 1.0).when(span > 1, n / span).otherwise(1.0)
+        return F.least(F.lit(1.0), 0.5 * n / len(words) + 0.2 * density + verbatim)
+
+    def of(tokens: Column) -> Column:
+        places = F.filter(F.transform(tokens, lambda t, i: F.when(t.isin(wanted), i)), lambda i: i.isNotNull())
+        return F.when(F.size(tokens) == 0, 0.0).otherwise(let(places, score))
+
+    return let(tokenize(text), of)
 
 
 def rerank(query: str, candidates: DataFrame, k: int = 10) -> DataFrame:

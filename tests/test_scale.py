@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessel.functions import text as tx
-from tessel.operators import index, social
+from tessel.operators import fusion, index, social
 from tessel.streaming import jobs
 
 
@@ -56,3 +56,11 @@ def test_python_takes_a_batch_in_slices(monkeypatch):
     monkeypatch.setattr(index, "analyzed_tokens", lambda tokens, stem: made.append(len(tokens.flatten())) or analyzed(tokens, stem))
     assert [r for b in index._grouped(True)([batch.slice(1), batch.slice(0, 1)]) for r in b.to_pylist()] == whole[1:] + whole[:1]
     assert max(made) == 40 and sorted(made)[-2] <= 10
+
+
+def test_cross_score_analyses_a_text_once(spark):
+    """The plan holds the normalised text once, and the scores are those of the formula."""
+    t = spark.createDataFrame([("deep x networks",), ("deep deep deep networks",), ("Deep\n NET-WORKS deep networks",), ("",), ("a",)], "text string")
+    got = t.select("text", fusion.cross_score("deep networks", F.col("text")).alias("cross"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
+    assert [round(r["cross"], 6) for r in got.collect()] == [0.633333, 1.0, 1.0, 0.0, 0.2]
