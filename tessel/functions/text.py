@@ -165,6 +165,29 @@ def analyze(docs: DataFrame, analyzer: str = "stem", text: str = "text", key: st
     return docs.select(key, tokens.alias("tokens")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, pos int, term string")
 
 
+def bigram_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = 3) -> DataFrame:
+    """(key, bigram, n): how often each pair of bigrams() stands in the texts of a key.
+
+    Pairs are counted row by row, without a shuffle; only where a key has several rows are their counts added up.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in it for part in slices(whole)):
+            codes, lengths, terms = analyzed_tokens(batch.column(1), False)
+            row, codes, size = np.repeat(np.arange(len(lengths)), lengths), codes.astype(np.int64), len(terms)
+            fits = (pc.utf8_length(terms).to_numpy(zero_copy_only=False) >= least)[codes]
+            at = np.flatnonzero((row[1:] == row[:-1]) & fits[1:] & fits[:-1])
+            if not len(at):
+                continue
+            pair, n = np.unique((row[at] * size + codes[at]) * size + codes[at + 1], return_counts=True)
+            words = pc.binary_join_element_wise(terms.take(pa.array(pair // size % size)), terms.take(pa.array(pair % size)), " ")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pair // size**2)), words, pa.array(n.astype(np.int64))], [key, "bigram", "n"])
+
+    out = docs.select(key, tokenize(F.col(text)).alias("tokens")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, bigram string, n long")
+    once = docs.groupBy(key).count().filter("count > 1").isEmpty()
+    return out if once else out.groupBy(key, "bigram").agg(F.sum("n").alias("n"))
+
+
 def query_terms(text: str, analyzer: str = "stem") -> list[str]:
     """Analysed tokens of a query string, on the driver."""
     kept = re.sub(r"[^A-Za-z0-9 \t\n\r\f\x0b]", "", text).lower().split()

@@ -51,8 +51,7 @@ def t5s(spark, d):
 
 @query("t8_bigrams", _with("SELECT doc_id, a || ' ' || b AS bigram, count(*) AS n FROM (SELECT doc_id, unnest(alltok[:-2]) AS a, unnest(alltok[2:]) AS b FROM toks WHERE len(alltok) > 1) WHERE length(a) >= 3 AND length(b) >= 3 GROUP BY ALL"))
 def t8(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.explode(tx.bigrams(tx.tokenize(F.col("text")))).alias("bigram"))
-    return docs.groupBy("doc_id", "bigram").agg(F.count("*").alias("n"))
+    return tx.bigram_counts(table(spark, d, "documents"))
 
 
 @query("t9_url_params", r"""WITH q AS (SELECT page_id, regexp_extract(url, '\?([^#]*)', 1) AS raw FROM pages),

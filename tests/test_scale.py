@@ -64,3 +64,18 @@ def test_cross_score_analyses_a_text_once(spark):
     got = t.select("text", fusion.cross_score("deep networks", F.col("text")).alias("cross"))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
     assert [round(r["cross"], 6) for r in got.collect()] == [0.633333, 1.0, 1.0, 0.0, 0.2]
+
+
+def test_bigram_counts(spark, monkeypatch):
+    """Against a plain count, also of keys with several rows; those with one are not shuffled."""
+    monkeypatch.setattr(tx, "SLICE", 6)
+    rows = [(1, "the cat saw the cat, the cat!"), (2, "of an ox"), (3, None), (4, ""), (5, "one two six one two"), (None, "one two"), (6, "abc")]
+    for more in ([], [(1, "cat saw the cat"), (5, "two six"), (None, "one two")]):
+        t = spark.createDataFrame(rows + more, "doc_id long, text string")
+        want = Counter()
+        for key, text in rows + more:
+            words = "".join(c for c in (text or "").lower() if c.isalnum() or c == " ").split()
+            want.update((key, f"{a} {b}") for a, b in zip(words, words[1:]) if len(a) >= 3 and len(b) >= 3)
+        got = tx.bigram_counts(t)
+        assert {(r["doc_id"], r["bigram"]): r["n"] for r in got.collect()} == want and got.count() == len(want)
+        assert ("Exchange" in got._jdf.queryExecution().toString()) == bool(more)
