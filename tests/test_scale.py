@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions import text as tx
 from tessel.operators import fusion, index, social
+from tessel.queries import registry
 from tessel.streaming import jobs
 
 
@@ -58,6 +59,21 @@ def test_python_takes_a_batch_in_slices(monkeypatch):
     assert max(made) == 40 and sorted(made)[-2] <= 10
 
 
+def test_spread_deals_by_size(spark, tmp_path, monkeypatch):
+    """A task for each PART_BYTES where there are fewer parts than cores, all rows, and nothing where there are enough."""
+    rows = spark.createDataFrame([(i, f"{i * 7919} text {i * i}") for i in range(3000)], "doc_id long, text string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert registry.spread(one).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(registry, "PART_BYTES", 2000)
+    dealt = registry.spread(one.select("doc_id", "text"))
+    assert dealt.rdd.getNumPartitions() > 8 and tasks_with_rows(dealt) > 8
+    assert sorted(dealt.collect()) == sorted(rows.collect())
+    rows.repartition(5).write.parquet(str(tmp_path / "five"))
+    five = spark.read.parquet(str(tmp_path / "five")).repartition(5)
+    assert registry.spread(five) is five
+
+
 def test_cross_score_analyses_a_text_once(spark):
     """The plan holds the normalised text once, and the scores are those of the formula."""
     t = spark.createDataFrame([("deep x networks",), ("deep deep deep networks",), ("Deep\n NET-WORKS deep networks",), ("",), ("a",)], "text string")
